@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the contracts: space and the five ASCII control characters 9 to 13.
 WHITE = " \t\n\u000b\f\r"
@@ -29,6 +30,11 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rows_of(df: DataFrame, **more: Column) -> DataFrame:
+    """Each row as one struct, _row, beside the named expressions: no column of df can then clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(n) for n, c in more.items()])
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that cut() wrote, when nothing needs it any more."""
     spark = df.sparkSession

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import WHITE, cut, table
+from ._shared import WHITE, cut, rows_of, table
 
 #: Pieces into which the rows of one text are dealt.
 SALTS = 64
@@ -64,10 +64,11 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    key = [F.col(id_col).eqNullSafe(F.col("_keep")), F.sha2(normalised(text_col), 256) == F.col("_sha")]
+    rows = rows_of(docs, _id=F.col(id_col), _own=F.sha2(normalised(text_col), 256), _len=F.length(F.coalesce(F.col(text_col), F.lit(""))))
     kept = exact_classes(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    once = Window.partitionBy("_keep", "_sha").orderBy(F.length(F.coalesce(F.col(text_col), F.lit(""))).desc())
-    return docs.join(kept, key[0] & key[1]).withColumn("_at", F.row_number().over(once)).where("_at = 1").select(*docs.columns)
+    joined = rows.join(kept, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_own") == F.col("_sha")))
+    once = Window.partitionBy("_keep", "_sha").orderBy(F.col("_len").desc())
+    return joined.withColumn("_at", F.row_number().over(once)).where("_at = 1").select("_row.*")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut, table
+from ._shared import cut, rows_of, table
 
 BLOCK = 512
 SHARDS = 64
@@ -227,6 +227,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     ids = [how.get("id_col", "doc_id"), how.get("text_col", "text")]
     used = taken(placed, slots).where("size > 0").groupBy("doc_id", "_mark")
     used = used.agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_n")).where("_n > 0")
-    used = used.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_m"), "_n")
-    joined = docs.join(used, F.col(ids[0]).eqNullSafe(F.col("_id")) & (F.xxhash64(*ids) == F.col("_m")))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(*docs.columns)
+    used = used.select(F.col("doc_id").alias("_used"), F.col("_mark").alias("_m"), "_n")
+    rows = rows_of(docs, _id=F.col(ids[0]), _own=F.xxhash64(*ids))
+    joined = rows.join(used, F.col("_id").eqNullSafe(F.col("_used")) & (F.col("_own") == F.col("_m")))
+    return joined.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select("_row.*")

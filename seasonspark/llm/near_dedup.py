@@ -32,7 +32,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import cut, discard, table
+from ._shared import cut, discard, rows_of, table
 
 #: Positions of a signature.
 T = 64
@@ -348,4 +348,4 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the smallest id of each component, one row for an id, with all their columns."""
     kept = near_components(docs, k, similarity, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_keep"))).drop("_keep")
+    return rows_of(docs, _id=F.col(id_col)).join(kept, F.col("_id").eqNullSafe(F.col("_keep"))).select("_row.*")

@@ -1,0 +1,216 @@
+"""Each corpus operator against brute force, with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import json
+import math
+import random
+import re
+
+import pytest
+
+from seasonspark.llm import bpe, exact_dedup, html_wrapper, language, mixing, near_dedup, pii, quality, topk, url_filter
+
+WS = r"[\x20\x09-\x0D]"
+LONG = " ".join(f"word{i % 977}" for i in range(30_000))
+TEXTS = [
+    (0, "one two three four five six seven eight nine ten"), (1, "one two three four five six seven eight nine ten"),
+    (2, "one  two three four five six seven eight nine ten "), (3, "ONE two three four five six seven eight nine eleven"),
+    (4, None), (5, ""), (6, "  \t\n"), (7, LONG), (8, LONG + " end"), (9, "solo"), (10, "é ß 漢字 🙂"), (10, "é ß 漢字 🙂"), (None, "no id here"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, f"s{k % 3}" if k % 5 else None, "keep", k) for k, (i, t) in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string, keep_id string, _n int")
+
+
+def empty(df):
+    return df.where("false")
+
+
+def test_exact_dedup(docs):
+    got = exact_dedup.exact_classes(docs).collect()
+    assert len(got) == len(TEXTS)
+    groups = {}
+    for i, t in TEXTS:
+        groups.setdefault(re.sub(WS, "", t or ""), []).append((-len(t or ""), i is None, i or 0, i))
+    for r in got:
+        g = next(v for k, v in groups.items() if hashlib.sha256(k.encode()).hexdigest() == r.text_sha256)
+        assert (r.keep_id, r.group_size) == (min(g)[3], len(g))
+    assert sum(r.kept for r in got) == len(groups)
+    assert exact_dedup.exact_dedup(docs).count() == len(groups)
+    assert exact_dedup.exact_classes(empty(docs)).count() == 0
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_dedup(spark, k):
+    rnd = random.Random(k)
+    base = [[rnd.choice("abcdefghij") + str(rnd.randrange(60)) for _ in range(rnd.randrange(1, 60))] for _ in range(25)]
+    rows = [(i, t) for i, t in TEXTS if i is not None]
+    for b in base:
+        for _ in range(rnd.randrange(1, 12)):
+            w = list(b)
+            for _ in range(rnd.randrange(0, 3)):
+                w[rnd.randrange(len(w))] = "x" + str(rnd.randrange(9))
+            rows.append((100 + len(rows), " ".join(w)))
+    got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id bigint, text string"), k=k).collect()
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set()))
+    up = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and (100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) or rows[a][0] == rows[b][0]):
+                x, y = near_dedup.find(up, a), near_dedup.find(up, b)
+                up[x] = y
+    low = {}
+    for a in range(len(rows)):
+        root = near_dedup.find(up, a)
+        low[root] = min(low.get(root, 1 << 60), rows[a][0])
+    want = sorted((rows[a][0], len(sets[a]), low[near_dedup.find(up, a)]) for a in range(len(rows)))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_near_dedup_large_group_and_empty(spark, docs):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*words[:i % 190], f"only{i}", *words[i % 190 + 1 :]])) for i in range(400)]
+    got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id bigint, text string"), k=2).collect()
+    assert {r.component_id for r in got} == {0}
+    assert near_dedup.near_components(empty(docs)).count() == 0
+    assert near_dedup.near_components(docs).count() == len(TEXTS)
+
+
+def test_bpe_is_exact(docs):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.vocabulary_path())
+    rnd = random.Random(1)
+    texts = ["", "a" * 500, "it's ''s don'T 12", "x<|endoftext|> y<|startoftext|>", "ΑΣ Σ", *["".join(rnd.choice("abcdeinthgrsé'.,!1 \n") for _ in range(rnd.randrange(80))) for _ in range(500)], LONG]
+    for t, (ids, text) in zip(texts, bpe.codec(bpe.vocabulary_path()).encode_batch(texts), strict=True):
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert list(memoryview(ids).cast("I") if ids else []) == want
+        assert text.decode() == lib.decode(want, skip_special_tokens=False)
+    got = bpe.bpe_encode(docs)
+    assert got.count() == len(TEXTS) and bpe.bpe_encode(empty(docs)).count() == 0
+    back = {r.doc_id: r.text for r in bpe.bpe_decode(got.where("doc_id in (4, 9)")).collect()}
+    assert back == {4: "", 9: lib.decode(lib.encode("solo", add_special_tokens=False).ids, skip_special_tokens=False)}
+
+
+def test_mixing(docs):
+    placed, slots = mixing.mixture(docs, block=16, shards=4)
+    got = mixing.taken(placed, slots, 16).collect()
+    assert len(got) == len(TEXTS)
+    assert sorted(r["size"] for r in got) == sorted(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t in TEXTS)
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+    assert all(r.taken <= 2 * r["size"] for r in got)
+    p, s = mixing.mixture(empty(docs))
+    assert mixing.taken(p, s).count() == 0
+    assert mixing.mixed_documents(docs).columns == docs.columns
+
+
+def test_targets_and_permutation():
+    import numpy as np
+
+    assert mixing.targets([10, 100, 1000], [5, 2, 1], 1.5) == pytest.approx([20, 200, 1445])
+    for n in (1, 2, 3, 7, 100, 1000):
+        assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 9))) == list(range(n))
+
+
+def test_top_k(spark):
+    rnd = random.Random(3)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(6)], 1) for i in range(300)] + [(500, None, 1), (600, [1.0, None] + [0.0] * 4, 1), (700, [float("nan")] * 6, 1), (800, [], 1), (900, [1.0, 2.0], 1)]
+    rows += [(i, rows[5][1], 1) for i in range(301, 320)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score int")
+    got = {}
+    for r in topk.top_k(df, df.vec_id % 100 == 0).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    ints = {i: [math.floor(1024 * x) for x in v] for i, v, _ in rows if v and all(x is not None and math.isfinite(x) for x in v)}
+    for q in (i for i in ints if i % 100 == 0):
+        want = sorted(((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q])))[:10]
+        assert [got.get(q, {}).get(n + 1) for n in range(len(want))] == [(i, -s) for s, i in want]
+    assert topk.top_k(empty(df), df.vec_id % 100 == 0).count() == 0
+
+
+def test_pii(docs, spark):
+    s = pii.Surrogates(b"k")
+    t = "Mail a.72@mail3.example.com or +1 (017) 555-7713, card 4111111111111111, ip 169.122.221.182, Mr. John Smith"
+    new, found = s.replace(t)
+    assert [k for k, _, _ in found] == ["email", "phone", "card", "ip", "name"]
+    assert not any(o in new for _, o, _ in found) and pii.passes([int(c) for c in found[2][2]])
+    assert re.sub(r"\d", "0", found[1][2]) == "+0 (000) 000-0000" and s.replace(t)[0] == new
+    assert s.replace("A.72@MAIL3.EXAMPLE.COM")[0] == found[0][2].upper()
+    assert s.replace("Licensed under CC BY-NC 4.0.")[1] == []
+    seen = {tuple(s.permute("t", [a, b], [7, 9])) for a in range(7) for b in range(9)}
+    assert len(seen) == 63
+    done = pii.anonymised(docs, b"k")
+    assert {(r.doc_id, r.text) for r in done.collect()} == set(TEXTS) and pii.clashes(done).count() == 0
+    many = spark.createDataFrame([(i, f"call +1 (0{i:02d}) 555-77{i:02d}") for i in range(60)], "doc_id int, text string")
+    assert pii.clashes(pii.anonymised(many, b"k")).count() == 0
+
+
+def test_language(spark, docs):
+    rnd = random.Random(4)
+    words = {"xx": ["the", "and", "thing"], "yy": ["der", "und", "schön"]}
+    rows = [(i, " ".join(rnd.choice(words[g]) for _ in range(12)), g) for i in range(200) for g in [rnd.choice(["xx", "yy"])]] + [(900, None, "xx"), (901, "123 !", "yy"), (902, "der und", None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    got = {r.doc_id: r for r in language.detect_language(df, df.doc_id % 4 == 2).collect()}
+    assert all(got[i].lang_pred == g for i, _, g in rows[:200]) and got[902].lang_pred == "yy"
+    assert got[900].lang_pred == got[901].lang_pred == "und" and all(0 <= r.score <= 1 for r in got.values())
+    assert language.detect_language(empty(df), df.doc_id % 4 == 2).count() == 0
+
+
+def test_quality(spark, docs):
+    rnd = random.Random(5)
+    rows = [(i, " ".join("".join(rnd.choice("abcde") for _ in range(5)) + ("" if i % 3 else "!!%") for _ in range(30)), f"s{i % 4}", "en", 200) for i in range(300)]
+    df = spark.createDataFrame([*rows, (900, None, None, None, None)], "doc_id int, text string, source string, lang string, n_chars int")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 300, 2)], "doc_id int, quality int")
+    got = {r.doc_id: r for r in quality.quality_scores(df, labels).collect()}
+    assert all(got[i].accepted == (i % 3 > 0) for i in range(300)) and len(got) == 301
+    assert {r.doc_id for r in quality.accepted(df, labels).collect()} == {i for i, r in got.items() if r.accepted}
+    assert all(r.accepted for r in quality.quality_scores(df, empty(labels)).collect())
+    assert quality.quality_scores(empty(df), labels).count() == 0
+
+
+def test_url_filter(spark):
+    urls = ["http://a.Example.COM/en/7x?q#f", "https://b.example.net/de/81", "https://b.example.net/de/7", "x.org/es/1", None, "ftp://bad.host.io", "https://w.org/es/#/", "http://com/en/"]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(100 + i, "http://bad.host.io/p") for i in range(60)], "page_id int, url string")
+    bad = spark.createDataFrame([(100 + i, 1) for i in range(60)] + [(0, 0)], "page_id int, bad int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judged(pages, bad).collect()}
+    assert got[0] == ("a.example.com", "/en/7x", "example.com/en/7", "allow")
+    assert got[1][2:] == ("example.net/de/8", "block") and got[2][2:] == ("net/de/", "allow")
+    assert got[3][:3] == ("", "", None) and got[4][:3] == ("", "", None)
+    assert got[5] == ("bad.host.io", "", None, "block") and got[6][2:] == ("org/es/", "block") and got[7][2:] == ("com/en/", "block")
+    assert url_filter.judged(empty(pages), bad).count() == 0
+
+
+def test_html(spark):
+    page = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><a href=x>menu</a></nav><div class="ad">buy</div><article><h1>Head &amp; b</h1><p><b>One  two<br><p>Three{}</article><aside>side</aside><div id="comments"><p>c</p></div><footer>&copy;</footer></body>'
+    rows = [(i, f"http://h{i % 2}.org/{i}", page.format(i)) for i in range(20)] + [(50, None, None), (51, "http://h0.org/", ""), (52, "http://h0.org/", page.format(52)[:-30])]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r.page_id: r for r in html_wrapper.extracted(df).collect()}
+    assert all(got[i].text == f"Head & b\nOne two\nThree{i}" == got[i].text and got[i].n_chars == len(got[i].text) for i in range(20))
+    assert got[50].text == got[51].text == "" and got[52].text.startswith("Head & b")
+    plain = '<body><div class="header">Site</div><div class="content"><p>Text <a href=x>link</a> here</p><ul><li>a<li>b</ul></div><form><p>f</p></form></body>'
+    assert html_wrapper.main_text(plain, set(), set()) == "Text link here\na\nb"
+    made = html_wrapper.wrappers(html_wrapper.with_host(df, "page_id", "url", "html")).where("host = 'h0.org'").first()
+    assert "<article>" in made.expression and json.loads(json.dumps(made.main)) == ["html body article h1", "html body article p"]
+    assert html_wrapper.extracted(empty(df)).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        ids = {r.doc_id for r in docs.select("doc_id").collect()}
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        assert {r.doc_id for r in docs.select("doc_id").collect()} <= ids
+    assert corpus_pipeline.run(spark, sf).count() == docs.count()
