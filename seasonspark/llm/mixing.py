@@ -208,7 +208,8 @@ def spans(placed: DataFrame, block: int) -> DataFrame:
 def taken(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
     """Words that the mix takes of each document, by joining blocks and slots on source and index."""
     uses = slots.groupBy("_i", "index").agg(F.sum(F.when(F.col("take") == block, 1).otherwise(0)).alias("_full"), F.max(F.when(F.col("take") < block, F.col("take"))).alias("_part"))
-    pieces = spans(placed, block).join(uses, ["_i", "index"])
+    # Spark's estimate of the slots misses what explode() makes of the plan, and would broadcast them.
+    pieces = spans(placed, block).join(uses.hint("merge"), ["_i", "index"])
     part = F.greatest(F.least(F.coalesce(F.col("_part"), F.lit(0)), F.col("_hi")) - F.col("_lo"), F.lit(0))
     words = F.col("_full") * (F.col("_hi") - F.col("_lo")) + part
     got = pieces.groupBy(F.col("_i").alias("_gi"), F.col("_start").alias("_gs")).agg(F.sum(words).alias("_taken"))
