@@ -33,7 +33,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import cut, table
 
 # Kinds of elements and the words in class, id and role that mark what is not main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -335,7 +335,8 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row per page: page_id, url, text and n_chars."""
     rows = with_host(pages, id_col, url_col, html_col)
     kind = rows.schema["page_id"].dataType.simpleString()
-    made = wrappers(rows).select("host", "main", "known")
+    # As a table of known size: broadcast if that is small, else joined in a way that splits a large host.
+    made = cut(wrappers(rows).select("host", "main", "known"), "wrappers")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
