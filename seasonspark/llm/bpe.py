@@ -28,12 +28,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import lean, table
 
 #: Pieces of words whose ids a worker keeps.
 CACHE_WORDS = 500_000
 #: Characters of text that are encoded at once.
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 8_000_000
 SUFFIX = "</w>"
 
 
@@ -286,21 +286,25 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
 
         c = codec(vocabulary or vocabulary_path())
         for b in batches:
-            n, ids_sha, decoded_sha, lists = [], [], [], []
+            at = 0
             for texts in groups(b.column(1)):
-                for ids, decoded in c.encode_batch(texts):
-                    n.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    decoded_sha.append(hashlib.sha256(decoded).hexdigest())
-                    if keep_ids:
-                        lists.append(memoryview(ids).cast("I").tolist())
-            cols = {"doc_id": b.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())}
-            if keep_ids:
-                cols["ids"] = pa.array(lists, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_pydict(cols)
+                done = c.encode_batch(texts)
+                ids = [x for x, _ in done]
+                shas = [[hashlib.sha256(x).hexdigest() for x in part] for part in (ids, (y for _, y in done))]
+                cols = [b.column(0).slice(at, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), *(pa.array(x, pa.string()) for x in shas)]
+                if keep_ids:  # straight from the bytes: lists of Python numbers would take nine times their room
+                    data = b"".join(ids)
+                    ends = array("i", [0])
+                    for x in ids:
+                        ends.append(ends[-1] + len(x) // 4)
+                    values = pa.Array.from_buffers(pa.int32(), len(data) // 4, [None, pa.py_buffer(data)])
+                    cols.append(pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(ends), [None, pa.py_buffer(ends)]), values))
+                at += len(texts)
+                del done, ids
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

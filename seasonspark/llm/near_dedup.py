@@ -32,7 +32,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import cut, discard, rows_of, table
+from ._shared import cut, discard, lean, rows_of, table
 
 #: Positions of a signature.
 T = 64
@@ -143,7 +143,7 @@ def featured(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, cid binary, sig array<int>, sketch binary")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, n_shingles bigint, cid binary, sig array<int>, sketch binary")
 
 
 def branch(rows: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def candidates(members: DataFrame, similarity: float) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return members.repartition("node").sortWithinPartitions("node").mapInArrow(run, "gid bigint, cid binary")
+    return members.repartition("node").sortWithinPartitions("node").mapInArrow(lean(run), "gid bigint, cid binary")
 
 
 def confirmed(clusters: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -281,9 +281,9 @@ def confirmed(clusters: DataFrame, texts: DataFrame, k: int, similarity: float)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    held = texts.mapInArrow(sets, "cid binary, shingles binary")
+    held = texts.mapInArrow(lean(sets), "cid binary, shingles binary")
     rows = clusters.join(held, "cid").repartition("gid").sortWithinPartitions("gid")
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(lean(run), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import lean, table
 
 MAX_LABELLED = 4_000
 MAX_POOL = 4_000
@@ -192,7 +192,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             p = views(model, b.column(1).to_pylist(), list(zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)))
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, p), pa.array(p[2] >= ACCEPT)], names=["doc_id", "p_text", "p_metadata", "score", "accepted"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, p_text double, p_metadata double, score double, accepted boolean")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, p_text double, p_metadata double, score double, accepted boolean")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
@@ -207,7 +207,7 @@ def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Data
             texts, *metas = (b.column(i).to_pylist() if i >= 0 else [None] * b.num_rows for i in at)
             yield b.filter(pa.array(views(model, texts, list(zip(*metas, strict=True)))[2] >= ACCEPT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
