@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seasonspark.functions.special import at_least, normal_cdf, normal_pdf
+
 
 def rps_terms(pairs: DataFrame) -> DataFrame:
     """Adds rps and clim, the halved squared distances of cumulative probabilities. pairs: cat, p_below, p_normal."""
@@ -102,3 +108,116 @@ def fdr_bh(tests: DataFrame, p: str = "p") -> DataFrame:
     ranked = tests.where(F.col(p).isNotNull()).withColumn("_q", F.col(p) * m / F.rank().over(Window.orderBy(p)))
     up = Window.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return ranked.withColumn("q", F.least(F.lit(1.0), F.min("_q").over(up))).drop("_q")
+
+
+def crps_normal(mu: Column, sigma: Column, obs: Column) -> Column:
+    """Closed form; the spread is 1e-12 at least."""
+    sd = at_least(sigma, 1e-12)
+    z = (obs - mu) / sd
+    return sd * (z * (2 * normal_cdf(z) - 1) + 2 * normal_pdf(z) - 1 / math.sqrt(math.pi))
+
+
+def crpss(rows: DataFrame) -> DataFrame:
+    """Anomalies against a normal climatology around 0 with the spread (ddof 0) of all observations. rows: mu, sigma, obs."""
+    over = rows.agg(F.stddev_pop("obs").alias("_sd"))  # one row
+    t = rows.join(F.broadcast(over)).select(crps_normal(F.col("mu"), F.col("sigma"), F.col("obs")).alias("f"), crps_normal(F.lit(0.0), F.col("_sd"), F.col("obs")).alias("c"))
+    return t.agg((1 - F.avg("f") / F.when(F.avg("c") != 0, F.avg("c"))).alias("crpss"))
+
+
+def groc(pairs: DataFrame) -> DataFrame:
+    """Mean of the six directed areas between two categories, ties half; null where a category is absent. pairs: cat, p_*."""
+    ps = [F.col("p_below"), F.col("p_normal"), F.col("p_above")]
+    sides = [F.struct(F.lit(3 * c + o).alias("k"), ps[c].alias("p"), (F.col("cat") == c).alias("hit")) for c in range(3) for o in range(3) if c != o]
+    keep = [(F.col("cat") == c) | (F.col("cat") == o) for c in range(3) for o in range(3) if c != o]
+    dealt = pairs.select(F.explode(F.array_compact(F.array(*[F.when(k, s) for k, s in zip(keep, sides, strict=True)]))).alias("s"))
+    hist = dealt.groupBy("s.k", "s.p").agg(F.sum(F.col("s.hit").cast("long")).alias("hit"), F.sum((~F.col("s.hit")).cast("long")).alias("miss"))
+    w = Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    run = hist.select("k", "hit", "miss", F.coalesce(F.sum("miss").over(w), F.lit(0)).alias("under"))
+    area = F.sum(F.col("hit") * (F.col("under") + F.col("miss") / 2)) / (F.sum("hit") * F.sum("miss"))
+    areas = run.groupBy("k").agg(F.when(F.sum("hit") * F.sum("miss") > 0, area).alias("a"))
+    return areas.agg(F.when(F.count("a") == 6, F.avg("a")).alias("groc"))
+
+
+def reliability(pairs: DataFrame, bins: int = 5) -> DataFrame:
+    """Weighted mean square of mean probability less frequency, over the bins of all three categories."""
+    cats = [F.struct(F.lit(i).alias("c"), F.col(p).alias("p"), (F.col("cat") == i).cast("double").alias("o")) for i, p in enumerate(("p_below", "p_normal", "p_above"))]
+    dealt = pairs.select(F.explode(F.array(*cats)).alias("s")).select("s.*")
+    b = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1))
+    g = dealt.groupBy("c", b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("p"), F.avg("o").alias("o"))
+    d = F.col("p") - F.col("o")
+    return g.agg((F.sum(F.col("n") * d * d) / F.sum("n")).alias("reliability"))
+
+
+def kendall_tau(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """2 A - 1 over pairs of years of a cell: 1/2 where both series tie, else 1 where the signs agree, a difference of 0 having sign +1 for the earlier year."""
+    a = pairs.select(*keys, F.col("year").alias("y1"), F.col("fc").alias("f1"), F.col("obs").alias("o1"))
+    b = pairs.select(*keys, F.col("year").alias("y2"), F.col("fc").alias("f2"), F.col("obs").alias("o2"))
+    j = a.join(b, keys).where("y1 < y2")
+    df, do = F.col("f1") - F.col("f2"), F.col("o1") - F.col("o2")
+    score = F.when((df == 0) & (do == 0), 0.5).when((df >= 0) == (do >= 0), 1.0).otherwise(0.0)
+    return j.groupBy(*keys).agg((2 * F.avg(score) - 1).alias("tau"))
+
+
+def score_pair(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Anomaly correlation, error and bias of a field. rows: pred, obs, clim."""
+    d = F.col("pred") - F.col("obs")
+    g = rows.where("pred IS NOT NULL AND obs IS NOT NULL").groupBy(*keys)
+    acc = F.corr(F.col("pred") - F.col("clim"), F.col("obs") - F.col("clim"))
+    return g.agg(acc.alias("acc"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(d).alias("bias"))
+
+
+def permutation_test(pairs: DataFrame, rounds: int = 5000, alternative: str = "greater", seed: int = 0) -> DataFrame:
+    """Share of permutations of y with a leave-one-out correlation at least as extreme, the data's own counted. pairs: cell, x, y; a cell's record is a group."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna()
+        n, cell = len(pdf), pdf["cell"].iloc[0] if len(pdf) else None
+        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+        if n < 5 or np.ptp(x) == 0:
+            return pd.DataFrame({"cell": [cell] if n else [], "statistic": [None] if n else [], "p": [None] if n else []})
+        c = x - x.mean()
+        h = 1 / n + c * c / (c @ c)
+        hat = np.outer(c, c) / (c @ c) + 1 / n
+        rng = np.random.default_rng(seed)
+        ys = np.vstack([y, *[rng.permutation(y) for _ in range(rounds)]])
+        ps = ys - (ys - ys @ hat) / (1 - h)
+        a, b = ps - ps.mean(1, keepdims=True), ys - ys.mean(1, keepdims=True)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            r = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
+        own, rest = r[0], r[1:]
+        more = {"greater": rest >= own - 1e-12, "less": rest <= own + 1e-12, "two-sided": np.abs(rest) >= abs(own) - 1e-12}[alternative]
+        return pd.DataFrame({"cell": [cell], "statistic": [own], "p": [(1 + more.sum()) / (rounds + 1)]})
+
+    kind = dict(pairs.dtypes)["cell"]
+    return pairs.select("cell", "x", "y").groupBy("cell").applyInPandas(one, f"cell {kind}, statistic double, p double")
+
+
+def anomaly(value: str) -> Column:
+    return F.col(value) - F.avg(value).over(Window.partitionBy("cell"))
+
+
+#: Scores of deterministic pairs (cell, year, fc, obs) by cell; the pooled score is the mean over cells.
+BY_CELL = {"pearson": (pearson, "r"), "spearman": (spearman, "rho"), "two_afc": (two_afc, "score"), "rmse": (rmse, "rmse")}
+#: Scores of tercile pairs (cell, year, cat, p_*), pooled.
+POOLED = {"rpss": (rpss, "rpss"), "groc": (groc, "groc"), "heidke": (heidke, "hss"), "reliability": (reliability, "reliability")}
+
+
+def skill(pairs: DataFrame, names: list[str]) -> DataFrame:
+    """metric, score of each name; MSSS is a ratio of means."""
+    out = None
+    for name in names:
+        if name in BY_CELL:
+            f, c = BY_CELL[name]
+            one = f(pairs, ["cell"]).agg(F.avg(c).alias("score"))
+        elif name == "msss":
+            one = msss(pairs, ["cell"]).withColumnRenamed("msss", "score")
+        elif name in POOLED:
+            f, c = POOLED[name]
+            one = f(pairs).withColumnRenamed(c, "score")
+        else:
+            raise KeyError(f"unknown metric {name!r}; there are {sorted([*BY_CELL, *POOLED, 'msss'])}")
+        one = one.select(F.lit(name).alias("metric"), "score")
+        out = one if out is None else out.unionAll(one)
+    if out is None:
+        raise ValueError("no metric")
+    return out

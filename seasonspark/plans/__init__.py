@@ -1,0 +1 @@
+from seasonspark.plans import catalog, forecasts  # noqa: F401  registers the queries

@@ -236,7 +236,7 @@ def delta(spark, d):
 
 
 @query(f"""WITH {OBS}, {HIND}, o AS (SELECT cell, avg(value) AS om, stddev_samp(value) AS os FROM obs WHERE year < 2000 GROUP BY 1),
-m AS (SELECT cell, avg(value) AS gm, stddev_samp(value) AS gs FROM hind WHERE year < 2000 GROUP BY 1)
+y AS (SELECT cell, year, avg(value) AS value FROM hind WHERE year < 2000 GROUP BY 1, 2), m AS (SELECT cell, avg(value) AS gm, stddev_samp(value) AS gs FROM y GROUP BY 1)
 SELECT cell, member, {rnd('om + (value - gm) / CASE WHEN gs < 1e-12 THEN 1 ELSE gs END * os')} AS value FROM hind JOIN o USING (cell) JOIN m USING (cell) WHERE year = 2000""")
 def qm_parametric(spark, d):
     h, o = cubes.hindcast(spark, d), cubes.observations(spark, d)

@@ -47,6 +47,20 @@ def lead_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("event_type").alias("cell"), hours.alias("lead_h"), "value")
 
 
+def on_grid(rows: DataFrame, width: int = 5) -> DataFrame:
+    """Cells laid out row by row: lat, lon instead of cell."""
+    lat, lon = F.floor(F.col("cell") / width).cast("double"), (F.col("cell") % width).cast("double")
+    return rows.select(*[c for c in rows.columns if c not in ("cell", "value")], lat.alias("lat"), lon.alias("lon"), "value")
+
+
+def seasonal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cell, season (quarter from 0), year, x (mean of members), y."""
+    t = table(spark, sf_dir, "lineitem")
+    keys = [F.col("l_suppkey").alias("cell"), (F.quarter("l_shipdate") - 1).alias("season"), F.year("l_shipdate").alias("year")]
+    m = t.groupBy(*keys, "l_linenumber").agg(F.sum("l_quantity").alias("s"), F.count("l_quantity").alias("n"))
+    return m.groupBy("cell", "season", "year").agg(F.avg(F.col("s") / F.col("n")).alias("x"), (F.sum("s") / F.sum("n")).alias("y"))
+
+
 # The same cubes in SQL, for the checks.
 OBS = "obs AS (SELECT l_suppkey AS cell, year(l_shipdate) AS year, avg(l_quantity) AS value FROM lineitem GROUP BY 1, 2)"
 HIND = "hind AS (SELECT l_suppkey AS cell, year(l_shipdate) AS year, l_linenumber AS member, avg(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3)"
@@ -58,3 +72,9 @@ def rain_sql(first: str, last: str) -> str:
   SELECT cell, CAST(g AS DATE) AS d FROM (SELECT DISTINCT cell FROM wet) c,
   generate_series(DATE '{first}', DATE '{last}', INTERVAL 1 DAY) AS s(g)
 ), rain AS (SELECT s.cell, s.d, coalesce(w.value, 0) AS value FROM spine s LEFT JOIN wet w ON s.cell = w.cell AND s.d = w.d)"""
+
+
+GRID = f"{OBS}, grid AS (SELECT year, (cell // 5)::DOUBLE AS lat, (cell % 5)::DOUBLE AS lon, value FROM obs)"
+SEASONS = """sp AS (SELECT cell, season, year, avg(v) AS x, sum(s) / sum(n) AS y FROM (
+  SELECT l_suppkey AS cell, (quarter(l_shipdate) - 1)::INT AS season, year(l_shipdate) AS year, l_linenumber, avg(l_quantity) AS v, sum(l_quantity) AS s, count(l_quantity) AS n
+  FROM lineitem GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)"""
