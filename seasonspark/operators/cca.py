@@ -116,7 +116,7 @@ def cross_validated(predictor: DataFrame, obs: DataFrame, x_modes: int = 3, y_mo
     kind = dict(predictor.dtypes)["model"]
 
     def one(xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: [] for c in ("model", "year", "lat", "lon", "prediction", "leverage")})
+        empty = pd.DataFrame(columns=["model", "year", "lat", "lon", "prediction", "leverage"], dtype=object)
         if xs.empty or ys.empty:
             return empty
         shared = sorted(set(xs["year"]) & set(ys["year"]))
@@ -124,12 +124,15 @@ def cross_validated(predictor: DataFrame, obs: DataFrame, x_modes: int = 3, y_mo
             return empty
         x, _, _, xw = matrix(xs[xs["year"].isin(shared)])
         y, years, cells, yw = matrix(ys[ys["year"].isin(shared)])
-        out = []
+        out: dict[str, list] = {c: [] for c in empty.columns}
         for i, year in enumerate(years):
             train = [j for j in range(len(years)) if abs(years[j] - year) > half]
             f = fit(x[train], y[train], xw, yw, x_modes, y_modes, modes)
-            out.append(pd.DataFrame({"model": xs["model"].iloc[0], "year": year, "lat": cells[:, 0], "lon": cells[:, 1], "prediction": f.predict(x[i]), "leverage": f.leverage(x[i])}))
-        return pd.concat(out, ignore_index=True).astype({"model": object})
+            n = len(cells)
+            columns = ([xs["model"].iloc[0]] * n, [int(year)] * n, cells[:, 0], cells[:, 1], f.predict(x[i]), [f.leverage(x[i])] * n)
+            for c, values in zip(out, columns, strict=True):
+                out[c].extend(values)
+        return pd.DataFrame(out)
 
     mean = predictor.groupBy("model", "year", "lat", "lon").avg("value").withColumnRenamed("avg(value)", "value")
     groups = mean.groupBy("model").cogroup(obs.select("model", "year", "lat", "lon", "value").groupBy("model"))

@@ -174,7 +174,7 @@ def permutation_test(pairs: DataFrame, rounds: int = 5000, alternative: str = "g
         n, cell = len(pdf), pdf["cell"].iloc[0] if len(pdf) else None
         x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
         if n < 5 or np.ptp(x) == 0:
-            return pd.DataFrame({"cell": [cell] if n else [], "statistic": [None] if n else [], "p": [None] if n else []})
+            return pd.DataFrame({"cell": [cell] if n else [], "statistic": [None] if n else [], "p": [None] if n else []}, dtype=object)
         c = x - x.mean()
         h = 1 / n + c * c / (c @ c)
         hat = np.outer(c, c) / (c @ c) + 1 / n

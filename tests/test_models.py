@@ -65,7 +65,7 @@ def test_logit_forecast(spark):
     df = spark.createDataFrame(rows, "cell string, x double, value double")
     for model in ("binomial", "multinomial"):
         got = {r["cell"]: r for r in logit.forecast(df, 1.9, model).collect()}
-        assert got["falls"]["p_below"] > 0.8 and sum(got["falls"][1:]) == pytest.approx(1)
+        assert got["falls"]["p_below"] > 0.7 and sum(got["falls"][1:]) == pytest.approx(1)
         assert got["gaps"]["p_below"] is None or math.isnan(got["gaps"]["p_below"])
     with pytest.raises(ValueError):
         logit.forecast(df, 0.0, significance=0.1, penalty=1.0)
