@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seasonspark.functions.special import gamma_cdf, normal_cdf
+
 
 def accumulate_rolling(rows: DataFrame, keys: list[str], order: str, window: int, how: str = "sum") -> DataFrame:
     """Trailing reduction over window steps; null until the window is full."""
@@ -14,12 +16,32 @@ def accumulate_rolling(rows: DataFrame, keys: list[str], order: str, window: int
 
 
 def percentile_position(rows: DataFrame, keys: list[str], how: str = "empirical") -> DataFrame:
-    """Each value's place in its group's record: (below + ties / 2) / n, or Weibull's."""
-    w = Window.partitionBy(*keys).orderBy("value")
-    below, tied = F.rank().over(w) - 1, F.count("value").over(Window.partitionBy(*keys, "value"))
-    n = F.count("value").over(Window.partitionBy(*keys))
+    """Each value's place in its group's record.
+
+    empirical: (below + ties / 2) / n; weibull: Weibull's; gaussian: of a normal
+    distribution (ddof 0), null without spread; gamma: dry values at half their
+    share p0, wet ones at p0 + (1 - p0) times a gamma distribution fitted to the
+    wet ones by moments (ddof 1), null with fewer than two of these.
+    """
+    g = Window.partitionBy(*keys)
+    rows = rows.where("value IS NOT NULL")
+    n = F.count("value").over(g)
+    if how == "gaussian":
+        sd = F.stddev_pop("value").over(g)
+        return rows.withColumn("position", normal_cdf((F.col("value") - F.avg("value").over(g)) / F.when(sd >= 1e-12, sd)))
+    if how == "gamma":
+        wet = F.when(F.col("value") > 0, F.col("value"))
+        m, v, wets = F.avg(wet).over(g), F.var_samp(wet).over(g), F.count(wet).over(g)
+        v = F.when(v >= 1e-12, v)
+        fitted = rows.withColumns({"_dry": 1 - wets / n, "_wets": wets, "_k": m * m / v, "_s": v / m})
+        above = F.col("_dry") + (1 - F.col("_dry")) * gamma_cdf("value", "_k", "_s")
+        p = F.when(F.col("_wets") >= 2, F.when(F.col("value") > 0, above).otherwise(0.5 * F.col("_dry")))
+        return fitted.withColumn("position", F.when(~F.isnan(p), p)).drop("_dry", "_wets", "_k", "_s")
+    if how not in ("empirical", "weibull"):
+        raise ValueError(f"no position is called {how!r}")
+    below, tied = F.rank().over(g.orderBy("value")) - 1, F.count("value").over(Window.partitionBy(*keys, "value"))
     p = (below + 0.5 * tied) / n if how == "empirical" else (below + 0.5 * tied + 0.5) / (n + 1)
-    return rows.where("value IS NOT NULL").withColumn("position", p)
+    return rows.withColumn("position", p)
 
 
 def percent_of_normal(rows: DataFrame, keys: list[str], threshold: float = 0.0) -> DataFrame:
@@ -78,3 +100,27 @@ def index_box(rows: DataFrame, inside: Column, how: str = "raw") -> DataFrame:
         return mean.select("year", F.col("v").alias("index"))
     centred = F.col("v") - F.avg("v").over(over)
     return mean.select("year", (centred if how == "anomaly" else centred / F.stddev_pop("v").over(over)).alias("index"))
+
+
+# Weights of the boxes of composite indices.
+COMPOSITES = {
+    "wvg3": {"nino34": 1.0, "wnp": -1 / 3, "wep": -1 / 3, "wsp": -1 / 3},
+    "wvg2": {"nino34": 1.0, "wnp": -0.5, "wep": -0.5},
+    "dmi": {"wtio": 1.0, "setio": -1.0},
+    "roni": {"nino34": 1.0, "tropics": -1.0},
+}
+
+
+def composite(boxes: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """A weighted sum of box indices, null where a box lacks a value. boxes: keys, box, index."""
+    parts = COMPOSITES[name]
+    w = F.create_map(*[F.lit(x) for part in parts.items() for x in part])
+    whole = F.count("index") == len(parts)
+    return boxes.where(F.col("box").isin(*parts)).groupBy(*keys).agg(F.when(whole, F.sum(w[F.col("box")] * F.col("index"))).alias("index"))
+
+
+def pixel_standardize(members: DataFrame, climatology: DataFrame) -> DataFrame:
+    """The members' mean as standard scores (ddof 1) of the cell's climatology; null without spread."""
+    c = climatology.groupBy("cell").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
+    z = (F.col("_v") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s"))
+    return members.groupBy("cell", "year").agg(F.avg("value").alias("_v")).join(c, "cell", "left").select("cell", "year", z.alias("z"))

@@ -203,6 +203,26 @@ def scale_fit(rows: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, F.when(sound, a).alias("a"), F.when(sound, b).alias("b"))
 
 
+def smoothed_terciles(members: DataFrame, obs: DataFrame, forecast: DataFrame, seasons: int = 4, sigma: float | None = None) -> DataFrame:
+    """Shares below, within and above the terciles of the observed anomalies of a season, of a normal distribution scaled by a and b.
+
+    members: cell, season, year, member, value; obs: cell, season, year, value;
+    forecast: cell, season, member, value. sigma smooths a and b over the seasons.
+    """
+    keys = ["cell", "season"]
+    reduced = [F.avg("value").alias("mu"), F.stddev_pop("value").alias("sigma")]
+    h = members.groupBy(*keys, "year").agg(*reduced)
+    fit = scale_fit(h.join(obs.withColumnRenamed("value", "y"), [*keys, "year"]), keys)
+    if sigma is not None:
+        smooth = [smooth_seasons(fit.select(*keys, F.col(c).alias("a")), seasons, sigma).withColumnRenamed("a", c) for c in ("a", "b")]
+        fit = smooth[0].join(smooth[1], keys)
+    third = [F.percentile("value", F.lit(k / 3)) - F.avg("value") for k in (1, 2)]
+    bounds = obs.groupBy(*keys).agg(third[0].alias("lo"), third[1].alias("hi")).withColumn("hi", F.when(F.col("lo") < F.col("hi"), F.col("hi")).otherwise(F.col("lo") + 1e-6))
+    clim = h.groupBy(*keys).agg(F.avg("mu").alias("_c"))
+    j = forecast.groupBy(*keys).agg(*reduced).join(clim, keys).join(fit, keys).join(bounds, keys)
+    return j.select(*keys, *gaussian_split(F.col("a") * (F.col("mu") - F.col("_c")), F.abs("b") * F.col("sigma"), F.col("lo"), F.col("hi")))
+
+
 def gamma_fit(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Shape and scale of positive values by moments (ddof 0); three values at least, null without variance."""
     g = rows.where("value > 0").groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))

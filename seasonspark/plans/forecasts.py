@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seasonspark.functions.special import normal_cdf_sql, normal_ppf_sql, t_cdf_sql
-from seasonspark.operators import ensembles, methods, metrics, regrid, terciles, validation
+from seasonspark.operators import climate, ensembles, methods, metrics, regrid, terciles, terrain, validation
 from seasonspark.plans.catalog import BOUNDED, LOO, PAIRS, bounded, pairs, query, r, rnd
 from seasonspark.sources import cubes
 from seasonspark.sources.cubes import GRID, HIND, OBS, SEASONS
@@ -430,3 +430,84 @@ def bma_weights(spark, d):
 
 
 query()(bma_weights)
+
+
+@query(f"WITH {OBS}, k AS (SELECT cell, year, (value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w >= 1e-12 THEN stddev_pop(value) OVER w END AS z FROM obs WINDOW w AS (PARTITION BY cell)) SELECT cell, year, CASE WHEN z IS NOT NULL THEN {rnd(normal_cdf_sql('z'))} END AS position FROM k")
+def percentile_gaussian(spark, d):
+    return r(climate.percentile_position(cubes.observations(spark, d), ["cell"], "gaussian").select("cell", "year", "position"))
+
+
+@query()
+def percentile_gamma(spark, d):
+    return r(climate.percentile_position(cubes.observations(spark, d), ["cell"], "gamma").select("cell", "year", "position"))
+
+
+@query(f"""WITH {OBS}, {HIND}, c AS (SELECT cell, avg(value) AS m, stddev_samp(value) AS s FROM obs GROUP BY 1), f AS (SELECT cell, year, avg(value) AS v FROM hind GROUP BY 1, 2)
+SELECT cell, year, {rnd('(v - m) / CASE WHEN s > 0 THEN s END')} AS z FROM f LEFT JOIN c USING (cell)""")
+def pixel_standardize(spark, d):
+    return r(climate.pixel_standardize(cubes.hindcast(spark, d), cubes.observations(spark, d)))
+
+
+BOXES = ("nino34", "wnp", "wep", "wsp", "wtio", "setio", "tropics")
+
+
+def boxes(spark: SparkSession, d: str) -> DataFrame:
+    """year, box, index: the mean of every seventh cell."""
+    names = F.array(*map(F.lit, BOXES))
+    o = cubes.observations(spark, d).withColumn("box", F.element_at(names, (F.col("cell") % len(BOXES) + 1).cast("int")))
+    return o.groupBy("year", "box").agg(F.avg("value").alias("index"))
+
+
+PIVOT = f"{OBS}, b AS (SELECT year, {', '.join(f'avg(CASE WHEN cell % {len(BOXES)} = {k} THEN value END) AS {n}' for k, n in enumerate(BOXES))} FROM obs GROUP BY 1)"
+
+
+@query(f"""WITH {PIVOT} SELECT year, name, {rnd('i')} AS "index" FROM (
+  SELECT year, 'wvg3' AS name, nino34 - (wnp + wep + wsp) / 3 AS i FROM b UNION ALL SELECT year, 'wvg2', nino34 - (wnp + wep) / 2 FROM b
+  UNION ALL SELECT year, 'dmi', wtio - setio FROM b UNION ALL SELECT year, 'roni', nino34 - tropics FROM b)""")
+def composite_indices(spark, d):
+    b = boxes(spark, d)
+    parts = [climate.composite(b, ["year"], n).withColumn("name", F.lit(n)) for n in climate.COMPOSITES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return r(out)
+
+
+SEASON_MEMBERS = """sm AS (SELECT l_suppkey AS cell, (quarter(l_shipdate) - 1)::INT AS season, year(l_shipdate) AS year, l_linenumber AS member, avg(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3, 4),
+so AS (SELECT l_suppkey AS cell, (quarter(l_shipdate) - 1)::INT AS season, year(l_shipdate) AS year, avg(l_quantity) AS y FROM lineitem WHERE year(l_shipdate) < 1998 GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {SEASON_MEMBERS}, h AS (SELECT cell, season, year, avg(value) AS mu, stddev_pop(value) AS sigma FROM sm WHERE year <= 1998 GROUP BY 1, 2, 3),
+fit AS (SELECT cell, season, count(*) AS n, covar_pop(mu, y) / var_pop(mu) AS a, var_pop(mu) AS v, var_pop(y) AS vo, avg(sigma * sigma) AS s2 FROM h JOIN so USING (cell, season, year) GROUP BY 1, 2),
+c AS (SELECT cell, season, avg(mu) AS c FROM h WHERE year < 1998 GROUP BY 1, 2),
+t AS (SELECT cell, season, quantile_cont(y, 1.0::DOUBLE / 3) - avg(y) AS lo, quantile_cont(y, 2.0::DOUBLE / 3) - avg(y) AS hi FROM so GROUP BY 1, 2),
+j AS (SELECT cell, season, a * (mu - c) AS m, greatest(sqrt(greatest(vo - a * a * v, 0) / s2) * sigma, 1e-12) AS s, lo, CASE WHEN lo < hi THEN hi ELSE lo + 1e-6 END AS hi
+  FROM (SELECT * FROM h WHERE year = 1998) JOIN fit USING (cell, season) JOIN c USING (cell, season) JOIN t USING (cell, season) WHERE n >= 3 AND v >= 1e-12 AND s2 >= 1e-12),
+z AS (SELECT cell, season, (lo - m) / s AS zl, (hi - m) / s AS zh FROM j) {split_sql('cell, season', 'z')}""")
+def smoothed_terciles(spark, d):
+    """Fitted before 1998, for 1998."""
+    m = cubes.seasonal_members(spark, d)
+    o = cubes.seasonal_pairs(spark, d).where("year < 1998").select("cell", "season", "year", F.col("y").alias("value"))
+    return r(methods.smoothed_terciles(m.where("year < 1998"), o, m.where("year = 1998")).where("p_below IS NOT NULL"))
+
+
+def terrain_rows(spark: SparkSession, d: str) -> DataFrame:
+    """year, lat, lon, z, u, v: a made-up relief on a grid of a hundredth of a degree."""
+    g = cubes.on_grid(cubes.observations(spark, d).select("year", "cell", "value"))
+    wind = [(F.cos("year") + 0.1).alias("u"), F.sin("year").alias("v")]
+    return g.select("year", (F.col("lat") / 100).alias("lat"), (F.col("lon") / 100).alias("lon"), (F.col("value") * 20).alias("z"), *wind)
+
+
+@query()
+def wind_effect(spark, d):
+    return r(terrain.wind_effect(terrain_rows(spark, d), ["year"]))
+
+
+@query()
+def chelsa_precipitation(spark, d):
+    """Coarse amounts of 10 plus the year's last digit on blocks of two by two points."""
+    h = terrain.wind_effect(terrain_rows(spark, d), ["year"])
+    z = terrain_rows(spark, d).select("year", "lat", "lon", "z")
+    parent = F.concat_ws(":", F.floor(F.round(F.col("lat") * 100) / 2), F.floor(F.round(F.col("lon") * 100) / 2))
+    rows = h.join(z, ["year", "lat", "lon"]).withColumns({"parent": parent, "pbl": F.lit(900.0), "ground": F.lit(100.0), "exposure": F.lit(1.0), "coarse": 10.0 + F.col("year") % 10})
+    return r(terrain.orographic(terrain.lifted(rows, ["year"]), ["year"]))

@@ -61,6 +61,13 @@ def seasonal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("cell", "season", "year").agg(F.avg(F.col("s") / F.col("n")).alias("x"), (F.sum("s") / F.sum("n")).alias("y"))
 
 
+def seasonal_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cell, season (quarter from 0), year, member, value."""
+    t = table(spark, sf_dir, "lineitem")
+    keys = [F.col("l_suppkey").alias("cell"), (F.quarter("l_shipdate") - 1).alias("season"), F.year("l_shipdate").alias("year"), F.col("l_linenumber").alias("member")]
+    return t.groupBy(*keys).agg(F.avg("l_quantity").alias("value"))
+
+
 # The same cubes in SQL, for the checks.
 OBS = "obs AS (SELECT l_suppkey AS cell, year(l_shipdate) AS year, avg(l_quantity) AS value FROM lineitem GROUP BY 1, 2)"
 HIND = "hind AS (SELECT l_suppkey AS cell, year(l_shipdate) AS year, l_linenumber AS member, avg(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3)"
