@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seasonspark.functions.special import normal_cdf_sql, normal_ppf_sql, t_cdf_sql
-from seasonspark.operators import climate, ensembles, methods, metrics, regrid, terciles, terrain, validation
+from seasonspark.operators import climate, ensembles, methods, metrics, rank_analog as ranks, regrid, terciles, terrain, validation
 from seasonspark.plans.catalog import BOUNDED, LOO, PAIRS, bounded, pairs, query, r, rnd
 from seasonspark.sources import cubes
 from seasonspark.sources.cubes import GRID, HIND, OBS, SEASONS
@@ -511,3 +511,12 @@ def chelsa_precipitation(spark, d):
     parent = F.concat_ws(":", F.floor(F.round(F.col("lat") * 100) / 2), F.floor(F.round(F.col("lon") * 100) / 2))
     rows = h.join(z, ["year", "lat", "lon"]).withColumns({"parent": parent, "pbl": F.lit(900.0), "ground": F.lit(100.0), "exposure": F.lit(1.0), "coarse": 10.0 + F.col("year") % 10})
     return r(terrain.orographic(terrain.lifted(rows, ["year"]), ["year"]))
+
+
+@query()
+def rank_analog(spark, d):
+    """Members of 2000 on blocks of two by two points, to the points."""
+    half = [F.floor(F.col(c) / 2).cast("double").alias(c) for c in ("lat", "lon")]
+    h = cubes.on_grid(cubes.hindcast(spark, d)).select("year", "member", *half, "value").groupBy("year", "member", "lat", "lon").agg(F.avg("value").alias("value"))
+    o = cubes.on_grid(cubes.observations(spark, d))
+    return r(ranks.rank_analog(h.where("year < 2000"), o.where("year < 2000"), h.where("year = 2000").drop("year"), closing=5))
