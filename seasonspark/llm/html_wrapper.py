@@ -5,12 +5,16 @@ and text slots; what repeats side by side is folded into a group. The streams
 of a host's pages are aligned one after the other: what only one side has
 becomes optional, what one side repeats becomes a repeated group, and texts
 become slots, so that the wrapper is a union-free regular expression. The
-wrapper's slots carry how much text and linked text they held and whether it
-ever changed. They are then labelled for the host as a whole: slots below
+wrapper's paths carry how much text and linked text they held and whether it
+ever changed. They are then labelled for the host as a whole: paths below
 navigation, adverts, forms and the like are out; of the rest, the article's
-slots are in, or else those of the container that holds most unlinked text.
-Pages are read by their host's wrapper; a slot that it lacks is judged by the
-same rule.
+paths are in, or else those of the container that holds most unlinked text.
+A path that the wrapper lacks is judged by the same rule.
+
+Each page's stream is then matched against its host's expression, so that every
+text falls into a slot of it. A text that FIXED of the pages with its slot have
+there is template and left out, wherever it stands; below FIXED_PAGES pages of
+a slot nothing is told apart, and a page all of whose texts are fixed keeps them.
 
 Wrappers are folded within tasks first, so that a host with many pages costs
 one row a task; the join that brings them to the pages is one that Spark can
@@ -23,6 +27,7 @@ its text; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -53,6 +58,9 @@ OUT_WORDS = frozenset(
 HEADER_WORDS = frozenset("header topbar site-header".split())
 MAIN_WORDS = ("main", "article", "content", "post", "entry", "story", "body", "text")
 
+#: A slot's text is fixed if this share of the pages that have the slot repeat it; fewer pages than FIXED_PAGES do not tell.
+FIXED, FIXED_PAGES = 0.75, 16
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*\Z", re.S)
 MARKS = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDE = re.compile(r"""(?<![\w-])(?:hidden(?![\w-])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
@@ -96,11 +104,12 @@ def element(name: str, attributes: str) -> str:
 
 
 class Page:
-    """pieces: (path, text, linked, block) of each text; skeleton: the folded stream of structure."""
+    """pieces: (path, text, linked, block) of each text; slot_at: where in the stream each block has its text; skeleton: the folded stream of structure."""
 
     def __init__(self, html: str):
         stack: list[str] = []
         self.pieces: list[tuple[str, str, bool, int]] = []
+        self.slot_at: dict[int, int] = {}
         block, links, stream = 0, 0, []
 
         def pop(down_to: int) -> None:
@@ -115,8 +124,10 @@ class Page:
                     continue
                 text = entities.unescape(rest)
                 self.pieces.append((" ".join(stack), text, links > 0, block))
-                if text.strip() and (not stream or stream[-1] != "#"):
-                    stream.append("#")
+                if text.strip():
+                    if not stream or stream[-1] != "#":
+                        stream.append("#")
+                    self.slot_at.setdefault(block, len(stream) - 1)
             elif name == "a":
                 links = 1 if kind == "open" else 0
             elif name not in BLOCKS and name not in OUT_TAGS:
@@ -151,6 +162,13 @@ class Page:
     def skeleton(self) -> tuple:
         return folded(tuple(self.stream))
 
+    def texts(self) -> dict[tuple[int, str], str]:
+        """The text of each block and path, white space folded."""
+        parts: dict[tuple[int, str], list[str]] = {}
+        for path, text, _, block in self.pieces:
+            parts.setdefault((block, path), []).append(text)
+        return {k: t for k, ts in parts.items() if (t := SPACE.sub(" ", "".join(ts)).strip())}
+
 
 def folded(seq: tuple) -> tuple:
     """Side-by-side repeats as ("+", body), short bodies first, until nothing repeats."""
@@ -181,6 +199,34 @@ def keyed(seq: tuple) -> list[list]:
     return [[json.dumps(x[1]), False, True] if isinstance(x, tuple) else [json.dumps([x]), False, False] for x in seq]
 
 
+def reach(seq: tuple, stream: list[str], at: int) -> int:
+    """Where in the stream the items end that begin at this place; a group goes on as long as its body repeats."""
+    for x in seq:
+        if isinstance(x, tuple):
+            while (end := reach(x[1], stream, at)) > at:
+                at = end
+        elif at < len(stream) and stream[at] == x:
+            at += 1
+        else:
+            return -1
+    return at
+
+
+def parsed(items: list[list], page: Page, skeleton: tuple) -> list[int | None]:
+    """Of each token of the page's stream the item of the expression that it matches."""
+    own = [x[0] for x in keyed(skeleton)]
+    to: list[int | None] = [None] * len(own)
+    for i, j, n in SequenceMatcher(None, [x[0] for x in items], own, autojunk=False).get_matching_blocks():
+        to[j : j + n] = range(i, i + n)
+    out: list[int | None] = []
+    for k, x in enumerate(skeleton):
+        end = reach((x,), page.stream, len(out))
+        if end < 0:
+            break
+        out += [to[k]] * (end - len(out))
+    return out + [None] * (len(page.stream) - len(out))
+
+
 def aligned(a: list[list], b: list[list]) -> list[list]:
     """One expression for both sides: what either lacks is optional, what either repeats is repeated."""
     if [x[0] for x in a] == [x[0] for x in b]:
@@ -280,8 +326,30 @@ class Wrapper:
         return {p for p, r in of.items() if r[1] == top or r[1].startswith(top + " ")}
 
 
-def main_text(html: str | None, main: set[str], known: set[str]) -> str:
-    """A page's main text by its host's wrapper."""
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+class Matcher:
+    """A host's expression, to match pages against; what each skeleton gives is kept."""
+
+    def __init__(self, items: str | None):
+        self.items = json.loads(items or "null") or []
+        self.held: dict[tuple, list] = {}
+
+    def slots(self, page: Page) -> dict[tuple[int, str], str]:
+        """The slot (item of the expression, path) of each block and path of the page; texts that no item matches are missing."""
+        if (stream := tuple(page.stream)) not in self.held:
+            if len(self.held) > 1_000:
+                self.held.clear()
+            self.held[stream] = parsed(self.items, page, folded(stream))
+        to = self.held[stream]
+        found = {(block, path): to[at] for path, _, _, block in page.pieces if (at := page.slot_at.get(block)) is not None}
+        return {k: f"{i} {k[1]}" for k, i in found.items() if i is not None}
+
+
+def main_text(html: str | None, main: set[str], known: set[str], matcher: Matcher | None = None, fixed: set[tuple[str, int]] = frozenset()) -> str:
+    """A page's main text by its host's wrapper, without the texts that are fixed in their slots."""
     if not html:
         return ""
     page = Page(html)
@@ -293,9 +361,15 @@ def main_text(html: str | None, main: set[str], known: set[str]) -> str:
         alone.add_page(page)
         own = alone.main()
         wanted |= own & new if wanted else own
+    out: set[tuple[int, str]] = set()
+    if matcher and fixed:
+        texts, slots = page.texts(), matcher.slots(page)
+        out = {k for k, t in texts.items() if k[1] in wanted and k in slots and (slots[k], digest(t)) in fixed}
+        if not any(k[1] in wanted and k not in out for k in texts):
+            out = set()
     blocks: dict[int, list[str]] = {}
     for path, text, _, block in page.pieces:
-        if path in wanted:
+        if path in wanted and (block, path) not in out:
             blocks.setdefault(block, []).append(text)
     lines = (SPACE.sub(" ", "".join(parts)).strip() for _, parts in sorted(blocks.items()))
     return "\n".join(x for x in lines if x)
@@ -307,7 +381,7 @@ def with_host(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, expression, main and known (paths of main slots and of all) from page_id, url, html, host."""
+    """host, expression, its items, main and known (paths of main text and all) from page_id, url, html, host."""
 
     def fold(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -325,10 +399,35 @@ def wrappers(pages: DataFrame) -> DataFrame:
         w = Wrapper()
         for part in sorted(rows.column("part").to_pylist()):
             w.merge(part)
-        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "expression": [expression(w.items or [])], "main": pa.array([sorted(w.main())], pa.list_(pa.string())), "known": pa.array([sorted(w.slots)], pa.list_(pa.string()))})
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "expression": [expression(w.items or [])], "items": [json.dumps(w.items)], "main": pa.array([sorted(w.main())], pa.list_(pa.string())), "known": pa.array([sorted(w.slots)], pa.list_(pa.string()))})
 
     parts = pages.select("host", "html").mapInArrow(fold, "host string, part string")
-    return parts.groupBy("host").applyInArrow(merge, "host string, expression string, main array<string>, known array<string>")
+    return parts.groupBy("host").applyInArrow(merge, "host string, expression string, items string, main array<string>, known array<string>")
+
+
+def fixed_texts(pages: DataFrame, made: DataFrame) -> DataFrame:
+    """host and fixed (slot and digest of each text that FIXED of the pages with the slot repeat)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        matchers: dict[str, Matcher] = {}
+        for b in batches:
+            rows = []
+            for host, html, items in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                if html:
+                    page = Page(html)
+                    slots = matchers.setdefault(host, Matcher(items)).slots(page)
+                    own = {(host, slots[k], digest(t)) for k, t in page.texts().items() if k in slots and region(k[1])}
+                    rows += [*own, *{(host, slot, None) for _, slot, _ in own}]  # null: the page has the slot
+            host, slot, text = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(slot, pa.string()), pa.array(text, pa.int64())], names=["host", "slot", "text"])
+
+    seen = pages.join(made.select("host", "items"), "host").select("host", "html", "items").mapInArrow(run, "host string, slot string, text bigint")
+    n = cut(seen.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FIXED * FIXED_PAGES), "slot-texts")
+    have = n.where(F.col("text").isNull() & (F.col("n") >= FIXED_PAGES)).select("host", "slot", F.col("n").alias("of"))
+    same = n.where("text is not null").join(have, ["host", "slot"]).where(F.col("n") >= FIXED * F.col("of"))
+    return same.groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("fixed"))
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -336,25 +435,26 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = with_host(pages, id_col, url_col, html_col)
     kind = rows.schema["page_id"].dataType.simpleString()
     # As a table of known size: broadcast if that is small, else joined in a way that splits a large host.
-    made = cut(wrappers(rows).select("host", "main", "known"), "wrappers")
+    made = cut(wrappers(rows).drop("expression"), "wrappers")
+    made = cut(made.join(fixed_texts(rows, made), "host", "left"), "wrappers")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        sets: dict[tuple, set] = {}
+        held: dict[str, tuple] = {}
         for b in batches:
             texts = []
-            cols = [b.column(i).to_pylist() for i in (2, 3, 4)]
-            for html, main, known in zip(*cols, strict=True):
-                both = []
-                for paths in (tuple(main or ()), tuple(known or ())):
-                    if len(sets) > 1_000:
-                        sets.clear()
-                    both.append(sets.setdefault(paths, set(paths)))
-                texts.append(main_text(html, *both))
+            cols = [b.column(i) for i in range(2, 7)]
+            for html, host, *wrapper in zip(*cols, strict=True):
+                if (h := host.as_py()) not in held:
+                    if len(held) > 200:
+                        held.clear()
+                    main, known, items, fixed = (w.as_py() for w in (*wrapper, b.column(7)[len(texts)]))
+                    held[h] = set(main or ()), set(known or ()), Matcher(items), {(f["slot"], f["text"]) for f in fixed or ()}
+                texts.append(main_text(html.as_py(), *held[h]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(made, "host", "left").select("page_id", "url", "html", "main", "known")
+    joined = rows.join(made, "host", "left").select("page_id", "url", "html", "host", "main", "known", "items", "fixed")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
 
 

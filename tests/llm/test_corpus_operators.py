@@ -202,6 +202,14 @@ def test_html(spark):
     assert html_wrapper.extracted(empty(df)).count() == 0
 
 
+def test_html_leaves_out_fixed_text_in_the_article(spark):
+    page = "<body><article><h1>Title {0}</h1><p>Own text {0}</p><p>More {0}</p><p>Same line</p><div class=zz><p>A standing line</p></div></article></body>"
+    rows = [(i, f"http://h.org/{i}", page.format(i)) for i in range(40)] + [(90, "http://k.org/", page.format(90))]
+    got = {r.page_id: r.text for r in html_wrapper.extracted(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nOwn text {i}\nMore {i}" for i in range(40))
+    assert got[90].endswith("A standing line")  # one page does not tell
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
