@@ -49,9 +49,16 @@ RECALL = 0.9995
 
 
 def trees_for(recall: float, similarity: float) -> int:
-    """Independent trees to reach the recall for pairs at the threshold that two levels must not part."""
-    level = 1 - (1 - similarity) * (1 - SECOND * similarity)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - level**2)))
+    """Independent trees to reach the recall for pairs at the threshold that all LEVELS must not part."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, LEVELS))))
+
+
+def survival(similarity: float, levels: int) -> float:
+    """Probability that one tree keeps a pair together over so many levels: one position and now and then a second, other one."""
+    s = 1.0
+    for _ in range(levels):
+        s = 1 - (1 - similarity * s) * (1 - SECOND * (1 - 1 / T) * similarity * s)
+    return s
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list:

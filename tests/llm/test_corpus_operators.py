@@ -83,6 +83,19 @@ def test_near_dedup_large_group_and_empty(spark, docs):
     assert near_dedup.near_components(docs).count() == len(TEXTS)
 
 
+def test_near_dedup_trees_reach_recall_over_all_levels():
+    rnd, n = random.Random(6), near_dedup.trees_for(near_dedup.RECALL, 0.8)
+
+    def together(levels):
+        if not levels:
+            return True
+        second = rnd.random() < near_dedup.SECOND and rnd.random() * near_dedup.T >= 1
+        return any(rnd.random() < 0.8 and together(levels - 1) for _ in range(1 + second))
+
+    one = sum(together(near_dedup.LEVELS) for _ in range(100_000)) / 100_000
+    assert (1 - one) ** n <= 1.2 * (1 - near_dedup.RECALL)
+
+
 def test_bpe_is_exact(docs):
     from tokenizers import Tokenizer
 
