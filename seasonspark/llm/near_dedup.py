@@ -7,12 +7,14 @@ the tokens at a position deal its classes to children. Nodes of a few classes
 are compared exhaustively on short sketches; larger ones branch again. A node
 that is still large at the last level holds classes that are alike in all that
 was picked: it is dealt at random into blocks, and every block also gets the
-node's pivots, so that its classes meet each pivot and different others in each
-tree. What the sketches cannot rule out is confirmed on the full sets, where a
+node's pivots, which joins groups of near copies at little cost. All that this
+leaves unconnected in such a node is then compared, every two blocks with each
+other but those of one large component. What the sketches cannot rule out is confirmed on the full sets, where a
 pair already connected by confirmed links is skipped; the spanning links that
 remain are joined into components by alternating large and small stars.
 
-No step holds a node, a class or a component in one task, emits the pairs of a
+The last comparison grows with the square of the classes of a large node that
+are alike but not connected. No step holds a node, a class or a component in one task, emits the pairs of a
 group or brings links to the driver.
 
 Defined cases: white space is the six ASCII characters, and only A-Z is
@@ -40,6 +42,8 @@ T = 64
 NODE = 64
 #: Levels of a tree.
 LEVELS = 4
+#: Classes of a block where all blocks of a large node are compared.
+PAIRED = 256
 #: Classes of a large node that every one of its blocks gets.
 PIVOTS = 8
 #: A node picks a second position with this probability.
@@ -178,6 +182,26 @@ def blocks(large: DataFrame) -> DataFrame:
     return own.unionByName(pivots.select(F.xxhash64("node", "_b").alias("node"), F.explode(F.array_distinct("_ps")).alias("cid")))
 
 
+def paired(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """Every two blocks of each large node as a node of their own: node, cid.
+
+    roots: node, root of what is connected already. Components of PAIRED classes or more have blocks of their own, which need not meet each other.
+    """
+    rows = large.select("node", "cid").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
+    whole = rows.where("root is not null").groupBy("node", "root").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= PAIRED)
+    rows = rows.join(whole, ["node", "root"], "left").select("node", "cid", F.when(F.col("_c").isNotNull(), F.col("root")).otherwise(F.lit(b"")).alias("grp"))
+    rows = cut(rows, "paths")
+    sizes = rows.groupBy("node", "grp").agg(F.ceil(F.count(F.lit(1)) / PAIRED).alias("m"))
+    dealt = rows.join(sizes, ["node", "grp"]).select("node", "grp", F.pmod(F.xxhash64("cid", "node"), F.col("m")).alias("blk"), "cid")
+    one = sizes.select("node", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("blk"))
+    a, b = one.select("node", F.struct("grp", "blk").alias("x")), one.select("node", F.struct("grp", "blk").alias("y"))
+    pooled = F.col("x.grp") == F.lit(b"")
+    both = a.join(b, "node").where((F.col("x") <= F.col("y")) & ((F.col("x.grp") != F.col("y.grp")) | pooled))
+    pair = F.xxhash64("node", "x.grp", "x.blk", "y.grp", "y.blk").alias("_pair")
+    sides = both.select("node", pair, F.explode(F.array_distinct(F.array("x", "y"))).alias("_s")).select("node", "_pair", "_s.grp", "_s.blk")
+    return sides.join(dealt, ["node", "grp", "blk"]).select(F.col("_pair").alias("node"), "cid")
+
+
 def grouped(batches: Iterator, key: str) -> Iterator:
     """Runs of equal keys in sorted batches, as tables."""
     import numpy as np
@@ -319,7 +343,7 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall
     reps = cut(rows.where("n_shingles > 0").groupBy("cid").agg(low).select("cid", "_r.doc_id", "_r.sig", "_r.sketch"), "classes")
     roots = [F.lit(r).cast("long") for r in range(trees_for(recall, similarity))]
     level = branch(reps.select("cid", "sig", F.explode(F.array(*roots)).alias("node")))
-    done = []
+    done, rest = [], None
     for depth in range(LEVELS):
         members = counted(level)
         done.append(members.where(F.col("n") <= NODE).select("node", "cid"))
@@ -329,16 +353,24 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall
                 break
             level = branch(large.join(reps.select("cid", "sig"), "cid"))
         else:
+            rest = large
             done.append(blocks(large))
     members = done[0]
     for d in done[1:]:
         members = members.unionByName(d)
-    members = members.join(reps.select("cid", "sketch"), "cid")
-    clusters = cut(candidates(members, similarity).distinct(), "clusters")
-    wanted = clusters.select("cid").distinct().join(reps.select("cid", F.col("doc_id").alias("_id")), "cid")
-    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(wanted, F.col("_doc").eqNullSafe(F.col("_id"))).select("cid", "text")
-    roots = cut(components(confirmed(clusters, texts, k, similarity)), "components")
+
+    def linked(members: DataFrame) -> DataFrame:
+        clusters = cut(candidates(members.join(reps.select("cid", "sketch"), "cid"), similarity).distinct(), "clusters")
+        wanted = clusters.select("cid").distinct().join(reps.select("cid", F.col("doc_id").alias("_id")), "cid")
+        texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
+        texts = texts.join(wanted, F.col("_doc").eqNullSafe(F.col("_id"))).select("cid", "text")
+        return confirmed(clusters, texts, k, similarity)
+
+    roots = cut(components(linked(members)), "components")
+    if rest is not None and not rest.isEmpty():
+        # What the trees connected stands for its links.
+        more = linked(paired(rest, roots)).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = cut(components(more), "components")
     ids = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id")
     tops = reps.select(F.col("cid").alias("node"), "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     heads = tops.groupBy("root").agg(F.min(ids).alias("_h")).select("root", F.col("_h.doc_id").alias("component_id"))

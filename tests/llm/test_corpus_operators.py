@@ -83,6 +83,17 @@ def test_near_dedup_large_group_and_empty(spark, docs):
     assert near_dedup.near_components(docs).count() == len(TEXTS)
 
 
+def test_near_dedup_compares_all_of_a_large_node(spark):
+    common = [f"c{i}" for i in range(164)]
+    rows = []
+    for i in range(240):
+        own = [f"o{i}x{j}" for j in range(36)]
+        rows += [(2 * i, " ".join(common + own)), (2 * i + 1, " ".join(common + own[:-1] + [f"p{i}"]))]
+    # Two trees: each must find nearly all pairs by itself.
+    got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id bigint, text string"), k=1, recall=0.8).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
+
+
 def test_near_dedup_trees_reach_recall_over_all_levels():
     rnd, n = random.Random(6), near_dedup.trees_for(near_dedup.RECALL, 0.8)
 
