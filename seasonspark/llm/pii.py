@@ -5,13 +5,14 @@ secrets (long hexadecimal strings) and personal names (after a title, or a known
 given name before a capitalised word). A surrogate is the original under a
 keyed permutation of all strings of its format: digits stay digits, letters stay
 letters of their script, vowels vowels, and case and punctuation are put back;
-given names are permuted within the known names of their gender and script, octets
-within 0 to 255, and a card that passes its check digit still does.
+given names are permuted within the known names of their gender and script, other
+names within all others, octets within 0 to 255, and a card passes its check digit
+if and only if the original does.
 
 The permutation makes the same entity the same surrogate everywhere, however it
 is written, and different entities of a format different ones, without any state
-or shuffle; a surrogate that equals its original is permuted again. clashes()
-checks this over a whole corpus.
+or shuffle, and has no fixed points. clashes() checks this over a whole corpus;
+the registered query runs it on digests and fails on a clash.
 
 Defined cases: null texts stay null and have no entities; texts without
 entities stay as they are; repeated rows repeat their result; other columns are
@@ -22,13 +23,14 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import cut, table
 
 #: The key of the registered query; callers bring their own.
 DEMO_KEY = b"surrogates-1"
@@ -45,6 +47,7 @@ ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèéêëì
 
 OF = {c: a for a in ALPHABETS for c in a}
 GIVEN = {n: k for k, ns in NAMES.items() for n in ns}
+KNOWN = {n.lower(): n for n in GIVEN}
 #: What every entity has one of; separate searches, as either skips fast over all else.
 MAYBE = (re.compile(r"[0-9@]").search, re.compile(r"[A-ZÀ-ÞА-Я][a-zà-ÿа-я]+\.? [A-ZÀ-ÞА-Я]").search)
 CAPITAL = r"[A-ZÀ-ÞА-Я][\w'’-]+"
@@ -69,35 +72,34 @@ class Surrogates:
         return int.from_bytes(hashlib.shake_128(seed).digest(need), "big") % below
 
     def permute(self, tag: str, values: list[int], radices: list[int]) -> list[int]:
-        """A keyed permutation of the vectors with these radices: ten Feistel rounds over its two halves."""
+        """A keyed permutation of the vectors with these radices that leaves none in place: mixed, moved on by a keyed step, mixed back."""
         if not values:
             return values
-        if len(values) == 1:  # one digit: a permutation of the radix by sorting keyed marks
-            order = sorted(range(radices[0]), key=lambda v: self.shift(tag, -1, v, 1 << 64))
-            return [order[values[0]]]
+        whole = math.prod(radices)
+        if len(values) == 1:  # one digit: the radix in an order of keyed marks
+            order = sorted(range(whole), key=lambda v: self.shift(tag, -1, v, 1 << 64))
+            return [order[(order.index(values[0]) + 1) % whole]]
         mid = len(values) // 2
-
-        def join(part):
-            n = 0
-            for v, r in part:
-                n = n * r + v
-            return n
-
-        pairs = list(zip(values, radices, strict=True))
-        half, size = [join(pairs[:mid]), join(pairs[mid:])], [1, 1]
-        for i, r in enumerate(radices):
-            size[i >= mid] *= r
-        for turn in range(10):
-            side = turn % 2
-            half[side] = (half[side] + self.shift(tag, turn, half[1 - side], size[side])) % size[side]
+        size = [math.prod(radices[:mid]), math.prod(radices[mid:])]
+        n = 0
+        for v, r in zip(values, radices, strict=True):
+            n = n * r + v
+        n = self.mixed(tag, n, size)
+        n = self.mixed(tag, (n + 1 + self.shift(tag, -2, 0, whole - 1)) % whole, size, back=True)
         out = []
-        for n, rs in zip(half, (radices[:mid], radices[mid:]), strict=True):
-            part = []
-            for r in reversed(rs):
-                n, v = divmod(n, r)
-                part.append(v)
-            out += part[::-1]
-        return out
+        for r in reversed(radices):
+            n, v = divmod(n, r)
+            out.append(v)
+        return out[::-1]
+
+    def mixed(self, tag: str, n: int, size: list[int], back: bool = False) -> int:
+        """Ten Feistel rounds over the two halves of a number, or those rounds undone."""
+        half = list(divmod(n, size[1]))
+        for turn in reversed(range(10)) if back else range(10):
+            side = turn % 2
+            shift = self.shift(tag, turn, half[1 - side], size[side])
+            half[side] = (half[side] + (-shift if back else shift)) % size[side]
+        return half[0] * size[1] + half[1]
 
     def letters(self, tag: str, text: str, digits: str = "") -> str:
         """Every known letter and digit permuted within its alphabet; the rest and the case stay."""
@@ -105,12 +107,7 @@ class Surrogates:
         own = [digits if digits and c in digits else OF.get(c) for c in low]
         at = [i for i, a in enumerate(own) if a]
         form = hashlib.sha256("".join(a[0] if a else c for a, c in zip(own, low, strict=True)).encode()).hexdigest()[:16]
-        start = values = [own[i].index(low[i]) for i in at]
-        radices = [len(own[i]) for i in at]
-        for _ in range(8):  # an original must not stand for itself
-            values = self.permute(f"{tag}|{form}", values, radices)
-            if values != start:
-                break
+        values = self.permute(f"{tag}|{form}", [own[i].index(low[i]) for i in at], [len(own[i]) for i in at])
         out = list(text)
         for i, v in zip(at, values, strict=True):
             c = own[i][v]
@@ -123,11 +120,9 @@ class Surrogates:
         body = [int(text[i]) for i in at]
         luhn = check and passes(body)
         body = body[:-1] if luhn else body
-        start = body
-        for _ in range(8):
+        body = self.permute(f"{tag}|{len(at)}|{luhn}", body, [10] * len(body))
+        while check and not luhn and passes(body):  # those that pass stand for those that pass
             body = self.permute(f"{tag}|{len(at)}|{luhn}", body, [10] * len(body))
-            if body != start:
-                break
         if luhn:
             body = [*body, next(d for d in range(10) if passes([*body, d]))]
         out = list(text)
@@ -135,20 +130,21 @@ class Surrogates:
             out[i] = str(d)
         return "".join(out)
 
-    def name(self, text: str, gender: str | None) -> str:
+    def name(self, text: str) -> str:
+        """Known given names stay among those of their kind, and others among the others; the last of several words is a family name."""
         words, out = text.split(" "), []
         for i, w in enumerate(words):
-            kind = GIVEN.get(w) if i < len(words) - 1 or len(words) == 1 else None
-            if kind:
+            first = i < len(words) - 1 or len(words) == 1
+            if first and (known := KNOWN.get(w.lower())):
+                kind = GIVEN[known]
                 names = NAMES[kind]
-                v = start = names.index(w)
-                for _ in range(8):
-                    v = self.permute(f"given|{kind}", [v], [len(names)])[0]
-                    if v != start:
-                        break
-                out.append(names[v])
-            else:
-                out.append(self.letters(f"name|{gender if i == 0 and len(words) > 1 else ''}", w))
+                new = names[self.permute(f"given|{kind}", [names.index(known)], [len(names)])[0]]
+                out.append(new.upper() if w.isupper() else new)
+                continue
+            new = self.letters("name", w)
+            while first and new.lower() in KNOWN:
+                new = self.letters("name", new)
+            out.append(new)
         return " ".join(out)
 
     def of(self, kind: str, text: str, m: re.Match | None = None) -> str:
@@ -157,12 +153,7 @@ class Surrogates:
             labels, _, top = domain.rpartition(".")
             return f"{self.letters('local', local)}@{self.letters('domain', labels)}.{top}"
         if kind == "ip":
-            values = start = list(map(int, text.split(".")))
-            for _ in range(8):
-                values = self.permute("ip", values, [256] * 4)
-                if values != start:
-                    break
-            return ".".join(map(str, values))
+            return ".".join(map(str, self.permute("ip", list(map(int, text.split("."))), [256] * 4)))
         if kind == "secret":
             new = self.letters("secret", text.lower(), "0123456789abcdef")
             return new.upper() if text.isupper() else new
@@ -172,10 +163,9 @@ class Surrogates:
         if kind == "card":
             return self.digits("card", text, check=True)
         if m and m["titled"]:
-            gender = next(g for g, ts in TITLES.items() if m["title"] in ts)
             at = m.start("titled") - m.start()
-            return text[:at] + self.name(m["titled"], gender)
-        return self.name(text, None)
+            return text[:at] + self.name(m["titled"])
+        return self.name(text)
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, str, str]]]:
         """The text with surrogates, and (kind, original, surrogate) of each place."""
@@ -220,14 +210,40 @@ def anonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, f"doc_id {kind}, text string, n_entities bigint, entities array<struct<kind:string,original:string,surrogate:string>>")
 
 
+def plain(kind: Column, text: Column) -> Column:
+    """An entity apart from case, the punctuation of numbers and the titles of names."""
+    low = F.lower(text)
+    titles = "|".join(t.lower() for ts in TITLES.values() for t in ts)
+    name = F.regexp_replace(low, rf"^({titles})\.? ", "")
+    # The country code stays apart: other codes have other permutations.
+    phone = F.regexp_replace(F.regexp_replace(low, r"^\+(\d{1,3})(?=[ .(-])", "$1|"), r"[\s().+-]", "")
+    return F.when(kind == "name", name).when(kind == "phone", phone).when(kind == "card", F.regexp_replace(low, r"[\s-]", "")).otherwise(low)
+
+
+def marked() -> Column:
+    """Of each entity its kind and digests of its plain original and surrogate."""
+    return F.transform("entities", lambda e: F.struct(e.kind.alias("kind"), *[F.unhex(F.substring(F.sha2(plain(e.kind, e[c]), 256), 1, 32)).alias(c) for c in ("original", "surrogate")]))
+
+
+def shared(places: DataFrame) -> DataFrame:
+    return places.distinct().groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("originals")).where("originals > 1")
+
+
 def clashes(done: DataFrame) -> DataFrame:
-    """kind and surrogate where different originals, apart from case and punctuation, share one."""
+    """kind and surrogate where different originals, apart from case, punctuation and titles, share one."""
     places = done.select(F.explode("entities").alias("e")).select("e.*")
-    plain = [F.regexp_replace(F.lower(c), r"[\s()+-]", "").alias(c) for c in ("original", "surrogate")]
-    return places.select("kind", *plain).distinct().groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("originals")).where("originals > 1")
+    return shared(places.select("kind", *[plain(F.col("kind"), F.col(c)).alias(c) for c in ("original", "surrogate")]))
+
+
+def checked(done: DataFrame) -> DataFrame:
+    """doc_id, text, n_entities and the kinds that were found, once no two entities share a surrogate. Originals are held as digests only."""
+    kinds = F.array_join(F.array_sort(F.array_distinct("entities.kind")), ",").alias("kinds")
+    held = cut(done.select("doc_id", "text", "n_entities", kinds, marked().alias("marks")), "surrogates")
+    if not (bad := shared(held.select(F.explode("marks").alias("m")).select("m.*"))).isEmpty():
+        raise ValueError(f"{bad.count()} surrogates stand for different originals")
+    return held.drop("marks")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Originals stay out of the result: doc_id, text, n_entities and the kinds that were found."""
-    done = anonymised(table(spark, sf_dir, "documents"), DEMO_KEY)
-    return done.select("doc_id", "text", "n_entities", F.array_join(F.array_sort(F.array_distinct("entities.kind")), ",").alias("kinds"))
+    return checked(anonymised(table(spark, sf_dir, "documents"), DEMO_KEY))

@@ -1,6 +1,7 @@
 """Each corpus operator against brute force, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -177,6 +178,23 @@ def test_pii(docs, spark):
     assert pii.clashes(pii.anonymised(many, b"k")).count() == 0
 
 
+def test_pii_has_no_fixed_points_and_keeps_names_apart(spark):
+    for key in (pii.DEMO_KEY, b"k"):
+        s = pii.Surrogates(key)
+        assert all(s.name(n) != n for n in pii.GIVEN) and len({s.name(n) for n in pii.GIVEN}) == len(pii.GIVEN)
+        for radices in ([5], [2, 2], [7, 9], [3, 4, 5]):
+            every = list(itertools.product(*map(range, radices)))
+            new = [tuple(s.permute("t", list(v), radices)) for v in every]
+            assert sorted(new) == every and all(a != b for a, b in zip(every, new, strict=True))
+        assert [s.replace(f"{t} Xavier Smith")[0].partition(" ")[2] for t in ("Mr", "Mrs")] == [s.name("Xavier Smith")] * 2
+    rows = [("a", "b"), ("mr b", "x"), ("mrs c", "x")]
+    made = spark.createDataFrame([(i, "t", 1, [("name", *r)]) for i, r in enumerate(rows)], "doc_id int, text string, n_entities bigint, entities array<struct<kind:string,original:string,surrogate:string>>")
+    with pytest.raises(ValueError, match="1 surrogates"):
+        pii.checked(made)
+    done = pii.checked(pii.anonymised(spark.createDataFrame([(i, f"{t} {n}ob Smith, +1 (017) 555-7713") for i, (t, n) in enumerate(itertools.product(("Mr", "Mrs."), "BDGJKL"))], "doc_id int, text string"), b"k"))
+    assert done.columns == ["doc_id", "text", "n_entities", "kinds"] and done.count() == 12
+
+
 def test_language(spark, docs):
     rnd = random.Random(4)
     words = {"xx": ["the", "and", "thing"], "yy": ["der", "und", "schön"]}
