@@ -28,7 +28,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix to the target weights takes it."""
+    """The words that the mix to the target weights takes of each document, a row for each of its blocks and slots."""
     return mixed_documents(docs)
 
 

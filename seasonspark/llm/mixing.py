@@ -222,13 +222,23 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(placed, slots).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number, with all its columns."""
-    placed, slots = mixture(docs, **how)
-    ids = [how.get("id_col", "doc_id"), how.get("text_col", "text")]
-    used = taken(placed, slots).where("size > 0").groupBy("doc_id", "_mark")
-    used = used.agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_n")).where("_n > 0")
-    used = used.select(F.col("doc_id").alias("_used"), F.col("_mark").alias("_m"), "_n")
-    rows = rows_of(docs, _id=F.col(ids[0]), _own=F.xxhash64(*ids))
-    joined = rows.join(used, F.col("_id").eqNullSafe(F.col("_used")) & (F.col("_own") == F.col("_m")))
-    return joined.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select("_row.*")
+def mixed_documents(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The words that the slots take: a row for each slot and document in it, with the document's columns, its text those words (n_chars their length)."""
+    placed, slots = mixture(docs, block=block, id_col=id_col, text_col=text_col, **how)
+    begin = F.col("index") * block - F.col("_start")
+    pieces = spans(placed, block).join(slots.select("_i", "index", "take").hint("merge"), ["_i", "index"])
+    pieces = pieces.where(F.col("take") > F.col("_lo"))
+    pieces = pieces.select("_mark", F.struct("_start", (begin + F.col("_lo")).alias("lo"), (begin + F.least("_hi", "take")).alias("hi"), "size").alias("_r"))
+    used = pieces.groupBy(F.col("_mark").alias("_m")).agg(F.collect_list("_r").alias("_rs"))
+    rows = rows_of(docs, _own=F.xxhash64(id_col, text_col)).join(used.hint("merge"), F.col("_own") == F.col("_m"))
+    # Rows that repeat an id and text are places of their own: each takes those of one.
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_own").orderBy("_m")))
+    starts = F.array_sort(F.array_distinct(F.transform("_rs", lambda r: r["_start"])))
+    rows = rows.select("_row", F.transform(F.array(F.get(starts, F.col("_k") - 1)), lambda s: F.filter("_rs", lambda r: r["_start"] == s))[0].alias("_rs"))
+    whole = F.col("_row")[text_col].cast("string")
+    words = F.regexp_extract_all(whole, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    # In an array of one, so that the words are found once a document.
+    cuts = F.transform(F.array(words), lambda w: F.transform("_rs", lambda r: F.when(r["hi"] - r["lo"] == r["size"], whole).otherwise(F.regexp_replace(F.array_join(F.slice(w, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")), ""), r"^[\x20\x09-\x0D]+", ""))))[0]
+    out = rows.select("_row", F.explode(cuts).alias("_text"))
+    new = {text_col: F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -138,6 +138,27 @@ def test_mixing(docs):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixed_documents_give_out_the_plan(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(f"{i}w{j}" for j in range(rnd.choice([3, 40, 300]))), f"s{i % 7 if i % 2 else 2}", -1) for i in range(90)]
+    rows += [rows[5], rows[5], (None, "a  b\tc ", "s0", -1), (91, None, "s0", -1), (92, " ", "s0", -1)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string, n_chars int")
+    out = mixing.mixed_documents(df, block=16, shards=4).collect()
+    placed, slots = mixing.mixture(df, block=16, shards=4)
+    plan, of = {}, {}
+    for r in mixing.taken(placed, slots, 16).collect():
+        plan[r.doc_id] = plan.get(r.doc_id, 0) + r.taken
+        of[r.source] = r.target
+    texts, got, total = {r[0]: r[1] for r in rows}, {}, {}
+    for r in out:
+        n = len(r.text.split())
+        assert r.text in texts[r.doc_id] and 0 < n <= 16 and r.n_chars == len(r.text)
+        got[r.doc_id] = got.get(r.doc_id, 0) + n
+        total[r.source] = total.get(r.source, 0) + n
+    assert got == {i: n for i, n in plan.items() if n}
+    assert all(abs(total[s] - of[s]) <= 1 for s in of)
+
+
 def test_targets_and_permutation():
     import numpy as np
 
