@@ -31,7 +31,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import cut, discard, lean, rows_of, table
@@ -128,7 +128,7 @@ def in_batches(column, chars: int = 8_000_000) -> Iterator[list]:
 
 
 def featured(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, cid (digest of the set; null if empty), sig and sketch (low bytes of sig)."""
+    """doc_id, mark (digest of id and text), n_shingles, cid (digest of the set; null if empty), sig and sketch (low bytes of sig)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -149,12 +149,12 @@ def featured(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                     sig.append(low.view(np.int32))
                     sketch.append(low.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(sig, pa.list_(pa.int32())), pa.array(sketch, pa.binary())],
-                names=["doc_id", "n_shingles", "cid", "sig", "sketch"],
+                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(sig, pa.list_(pa.int32())), pa.array(sketch, pa.binary())],
+                names=["doc_id", "mark", "n_shingles", "cid", "sig", "sketch"],
             )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lean(run), f"doc_id {kind}, n_shingles bigint, cid binary, sig array<int>, sketch binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, text_col).alias("mark"))
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, mark bigint, n_shingles bigint, cid binary, sig array<int>, sketch binary")
 
 
 def branch(rows: DataFrame) -> DataFrame:
@@ -338,6 +338,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
+    return in_components(docs, k, similarity, recall, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def in_components(docs: DataFrame, k: int, similarity: float, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """near_components() with mark and root (of the component; null without shingles)."""
     rows = cut(featured(docs, k, id_col, text_col), "shingles")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "sig", "sketch")).alias("_r")
     reps = cut(rows.where("n_shingles > 0").groupBy("cid").agg(low).select("cid", "_r.doc_id", "_r.sig", "_r.sketch"), "classes")
@@ -374,10 +379,10 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall
     ids = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id")
     tops = reps.select(F.col("cid").alias("node"), "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     heads = tops.groupBy("root").agg(F.min(ids).alias("_h")).select("root", F.col("_h.doc_id").alias("component_id"))
-    named = tops.join(heads, "root").select(F.col("node").alias("cid"), "component_id")
-    out = rows.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
+    named = tops.join(heads, "root").select(F.col("node").alias("cid"), "root", "component_id")
+    out = rows.select("doc_id", "mark", "n_shingles", "cid").join(named, "cid", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "mark", "root", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,6 +390,11 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the smallest id of each component, one row for an id, with all their columns."""
-    kept = near_components(docs, k, similarity, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return rows_of(docs, _id=F.col(id_col)).join(kept, F.col("_id").eqNullSafe(F.col("_keep"))).select("_row.*")
+    """One row of docs with the smallest id of each component, with all its columns; rows without shingles all stay."""
+    found = in_components(docs, k, similarity, RECALL, id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "mark")).alias("_f")
+    one = found.where("n_shingles > 0").groupBy("root").agg(first).select(F.col("_f.mark").alias("_keep"), F.lit(True).alias("_one"))
+    kept = one.unionByName(found.where("n_shingles = 0").select(F.col("mark").alias("_keep"), F.lit(False).alias("_one")).distinct())
+    rows = rows_of(docs, _own=F.xxhash64(id_col, text_col)).join(kept, F.col("_own") == F.col("_keep"))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_own").orderBy("_keep")))
+    return rows.where("_k = 1 or not _one").select("_row.*")

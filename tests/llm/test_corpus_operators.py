@@ -84,6 +84,13 @@ def test_near_dedup_large_group_and_empty(spark, docs):
     assert near_dedup.near_components(docs).count() == len(TEXTS)
 
 
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(None, a), (None, a + " x"), (None, a), (3, b), (3, b + " y"), (3, b), (4, b), (None, ""), (None, None)]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:1]) for r in got) == [(0, ""), (0, ""), (0, "a"), (3, "b")]
+
+
 def test_near_dedup_compares_all_of_a_large_node(spark):
     common = [f"c{i}" for i in range(164)]
     rows = []
