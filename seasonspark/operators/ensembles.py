@@ -77,7 +77,9 @@ def bma(forecasts: DataFrame, obs: DataFrame, keys: list[str], rounds: int = 200
     Errors of all models stand in one row a sample; each round is one pass with partial sums, and only sums by model come to the driver. Samples
     that miss a model are left out.
     """
-    models = sorted(r[0] for r in forecasts.select("model").distinct().limit(MOST_MODELS).collect())
+    models = sorted(r[0] for r in forecasts.select("model").distinct().limit(MOST_MODELS + 1).collect())
+    if len(models) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models")
     wide = forecasts.groupBy(*keys).pivot("model", models).agg(F.first("value")).join(obs, keys)
     errors = wide.select(*[(F.col(f"`{m}`") - F.col("obs")).alias(f"e{i}") for i, m in enumerate(models)]).dropna().persist()
     try:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from seasonspark import registry
-from seasonspark.operators import cca, completion, logit
+from seasonspark.operators import cca, completion, ensembles, logit
 from seasonspark.sources import issuance
 
 
@@ -117,3 +117,12 @@ def test_registry():
     registry.register("method", "mine")(len)
     assert registry.lookup("method", "mine") is len
     del registry.KINDS["method"]["mine"]
+
+
+def test_bma_raises_beyond_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(ensembles, "MOST_MODELS", 2)
+    rows = [(m, y, float(y + i)) for i, m in enumerate("abc") for y in range(4)]
+    forecasts = spark.createDataFrame(rows, "model string, year int, value double")
+    obs = spark.createDataFrame([(y, float(y)) for y in range(4)], "year int, obs double")
+    with pytest.raises(ValueError, match="more than 2 models"):
+        ensembles.bma(forecasts, obs, ["year"])
