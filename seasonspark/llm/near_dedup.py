@@ -34,7 +34,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut, discard, lean, rows_of, table
+from ._shared import FEW, cut, discard, join_uneven, lean, rows_of, table
 
 #: Positions of a signature.
 T = 64
@@ -44,6 +44,8 @@ NODE = 64
 LEVELS = 4
 #: Classes of a block where all blocks of a large node are compared.
 PAIRED = 256
+#: Clusters of so many classes, with so many shingles in all, are confirmed by products of matrices.
+MANY, HELD = 12, 3_000_000
 #: Classes of a large node that every one of its blocks gets.
 PIVOTS = 8
 #: A node picks a second position with this probability.
@@ -169,8 +171,11 @@ def branch(rows: DataFrame) -> DataFrame:
 
 def counted(rows: DataFrame) -> DataFrame:
     """node, cid and the node's number of classes, of nodes with two classes or more."""
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return cut(rows.join(sizes, "node"), "paths")
+    sizes = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nodes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    members = cut(join_uneven(rows, sizes, ["node"], "n", total), "paths")
+    discard(sizes)
+    return members
 
 
 def blocks(large: DataFrame) -> DataFrame:
@@ -187,19 +192,23 @@ def paired(large: DataFrame, roots: DataFrame) -> DataFrame:
 
     roots: node, root of what is connected already. Components of PAIRED classes or more have blocks of their own, which need not meet each other.
     """
-    rows = large.select("node", "cid").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
+    rows = cut(large.select("node", "cid").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left"), "paths")
+    total = rows.count()
     whole = rows.where("root is not null").groupBy("node", "root").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= PAIRED)
-    rows = rows.join(whole, ["node", "root"], "left").select("node", "cid", F.when(F.col("_c").isNotNull(), F.col("root")).otherwise(F.lit(b"")).alias("grp"))
-    rows = cut(rows, "paths")
-    sizes = rows.groupBy("node", "grp").agg(F.ceil(F.count(F.lit(1)) / PAIRED).alias("m"))
-    dealt = rows.join(sizes, ["node", "grp"]).select("node", "grp", F.pmod(F.xxhash64("cid", "node"), F.col("m")).alias("blk"), "cid")
-    one = sizes.select("node", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("blk"))
-    a, b = one.select("node", F.struct("grp", "blk").alias("x")), one.select("node", F.struct("grp", "blk").alias("y"))
-    pooled = F.col("x.grp") == F.lit(b"")
-    both = a.join(b, "node").where((F.col("x") <= F.col("y")) & ((F.col("x.grp") != F.col("y.grp")) | pooled))
-    pair = F.xxhash64("node", "x.grp", "x.blk", "y.grp", "y.blk").alias("_pair")
-    sides = both.select("node", pair, F.explode(F.array_distinct(F.array("x", "y"))).alias("_s")).select("node", "_pair", "_s.grp", "_s.blk")
-    return sides.join(dealt, ["node", "grp", "blk"]).select(F.col("_pair").alias("node"), "cid")
+    rows = join_uneven(rows, whole, ["node", "root"], "_c", total, "left")
+    rows = cut(rows.select("node", "cid", F.when(F.col("_c").isNotNull(), F.col("root")).otherwise(F.lit(b"")).alias("grp")), "paths")
+    sizes = rows.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("n")).withColumn("m", F.ceil(F.col("n") / PAIRED))
+    # Blocks are numbered through their node, a group's side by side: from first up to, not including, end.
+    node = Window.partitionBy("node")
+    end = F.sum("m").over(node.orderBy("grp"))
+    sizes = cut(sizes.select("node", "grp", "n", "m", end.alias("end"), F.sum("m").over(node).alias("all")), "nodes")
+    first = F.col("end") - F.col("m")
+    dealt = join_uneven(rows, sizes, ["node", "grp"], "n", total).select("node", "cid", (first + F.pmod(F.xxhash64("cid", "node"), F.col("m"))).alias("blk"))
+    one = sizes.select("node", "grp", "end", "all", F.explode(F.sequence(first, F.col("end") - 1)).alias("x")).repartition("node", "x")
+    start = F.when(F.col("grp") == F.lit(b""), F.col("x")).otherwise(F.col("end"))
+    both = one.where(start < F.col("all")).select("node", "x", F.explode(F.sequence(start, F.col("all") - 1)).alias("y"))
+    sides = both.select("node", F.xxhash64("node", "x", "y").alias("_pair"), F.explode(F.array_distinct(F.array("x", "y"))).alias("blk"))
+    return sides.join(dealt, ["node", "blk"]).select(F.col("_pair").alias("node"), "cid")
 
 
 def grouped(batches: Iterator, key: str) -> Iterator:
@@ -231,6 +240,49 @@ def find(up: list[int], i: int) -> int:
     return i
 
 
+def reached(near) -> tuple[list, list]:
+    """Components of two or more of a symmetric matrix of links, as arrays, and the links (i, j) that span them."""
+    import numpy as np
+
+    parts, links, open_ = [], [], np.ones(len(near), bool)
+    for i in range(len(near)):
+        if not open_[i]:
+            continue
+        open_[i] = False
+        part, front = [i], np.array([i])
+        while len(front):
+            some = near[front] & open_
+            new = np.flatnonzero(some.any(0))
+            links.extend(zip(front[some[:, new].argmax(0)].tolist(), new.tolist(), strict=True))
+            open_[new] = False
+            part.extend(new.tolist())
+            front = new
+        if len(part) > 1:
+            parts.append(np.sort(part))
+    return parts, links
+
+
+def overlaps(sets: list):
+    """Sizes of the intersections of every two sets, by products of their incidence in pieces of the shared elements."""
+    import numpy as np
+
+    n, piece = len(sets), 4_096
+    size = [len(x) for x in sets]
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    some = (times > 1) & (times < n)
+    held = np.flatnonzero(some[at])
+    column, row = (np.cumsum(some) - 1)[at[held]], np.repeat(np.arange(n), size)[held]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.full((n, n), float((times == n).sum()))
+    for lo in range(0, int(some.sum()), piece):
+        a, z = np.searchsorted(column, [lo, lo + piece])
+        m = np.zeros((n, piece), np.float32)
+        m[row[a:z], column[a:z] - lo] = 1
+        out += m @ m.T
+    return out
+
+
 def candidates(members: DataFrame, similarity: float) -> DataFrame:
     """Within nodes, the clusters that the sketches cannot part: gid (digest of its members), cid."""
     least = math.floor(T * (similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / T)))
@@ -252,20 +304,14 @@ def candidates(members: DataFrame, similarity: float) -> DataFrame:
                 continue
             ids = sorted(own)
             m = np.frombuffer(b"".join(own[i] for i in ids), np.uint8).reshape(len(ids), T)
-            up = list(range(len(ids)))
-            for i in range(1, len(ids)):
-                for j in np.flatnonzero((m[:i] == m[i]).sum(1) >= least).tolist():
-                    a, b = find(up, i), find(up, j)
-                    if a != b:
-                        up[a] = b
-            parts: dict[int, list[bytes]] = {}
-            for i, c in enumerate(ids):
-                parts.setdefault(find(up, i), []).append(c)
-            for part in parts.values():
-                if len(part) > 1:
-                    g = int.from_bytes(hashlib.blake2b(b"".join(part), digest_size=8).digest(), "little", signed=True)
-                    gids.extend([g] * len(part))
-                    cids.extend(part)
+            near = np.zeros((len(ids), len(ids)), bool)
+            for lo in range(0, len(ids), 64):
+                near[lo : lo + 64] = (m[lo : lo + 64, None, :] == m[None, :, :]).sum(2, dtype=np.uint8) >= least
+            for at in reached(near)[0]:
+                part = [ids[i] for i in at]
+                g = int.from_bytes(hashlib.blake2b(b"".join(part), digest_size=8).digest(), "little", signed=True)
+                gids.extend([g] * len(part))
+                cids.extend(part)
             if len(gids) > 20_000:
                 yield flush()
         yield flush()
@@ -297,18 +343,26 @@ def confirmed(clusters: DataFrame, texts: DataFrame, k: int, similarity: float)
             own = dict(zip(t.column("cid").to_pylist(), t.column("shingles").to_pylist(), strict=True))
             ids = sorted(own)
             s = [np.frombuffer(own[i], np.uint64) for i in ids]
-            up, a, b = list(range(len(ids))), [], []
-            for i in range(len(ids)):
-                for j in range(i):
-                    x, y = find(up, i), find(up, j)
-                    n, m = len(s[i]), len(s[j])
-                    if x == y or 100 * min(n, m) < percent * max(n, m):
-                        continue
-                    both = n + m - len(np.unique(np.concatenate([s[i], s[j]])))
-                    if 100 * both >= percent * (n + m - both):
-                        up[x] = y
-                        a.append(ids[i])
-                        b.append(ids[j])
+            a, b = [], []
+            if MANY <= len(ids) and sum(map(len, s)) <= HELD:
+                size = np.array([len(x) for x in s], float)
+                both = overlaps(s)
+                for i, j in reached(100 * both >= percent * (size[:, None] + size[None, :] - both))[1]:
+                    a.append(ids[i])
+                    b.append(ids[j])
+            else:
+                up = list(range(len(ids)))
+                for i in range(len(ids)):
+                    for j in range(i):
+                        x, y = find(up, i), find(up, j)
+                        n, m = len(s[i]), len(s[j])
+                        if x == y or 100 * min(n, m) < percent * max(n, m):
+                            continue
+                        both = n + m - len(np.unique(np.concatenate([s[i], s[j]])))
+                        if 100 * both >= percent * (n + m - both):
+                            up[x] = y
+                            a.append(ids[i])
+                            b.append(ids[j])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
@@ -318,19 +372,23 @@ def confirmed(clusters: DataFrame, texts: DataFrame, k: int, similarity: float)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and root (its component's least node) of every node that has a link, by alternating stars."""
+    """node and root (its component's least node) of every node that has a link, by alternating stars.
+
+    A star's centre may have any number of links: it is joined as a hot key.
+    """
     e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    before = None
+    n, before = e.count(), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("_m"))
-        small = large.join(low, "u").where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n")).select("u", F.least("u", "_m").alias("_m"), "_n")
+        large = join_uneven(both, low, ["u"], "_n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
+        large = cut(large, "links") if n > FEW else large
+        low = large.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n"))
+        small = join_uneven(large, low, ["u"], "_n", 2 * n).where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
         nxt = cut(small.unionByName(low.select("u", F.col("_m").alias("v"))).distinct(), "links")
         now = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        discard(e)
-        e = nxt
+        discard(e, *[large] * (n > FEW))
+        e, n = nxt, now[0]
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
@@ -345,12 +403,14 @@ def in_components(docs: DataFrame, k: int, similarity: float, recall: float, id_
     """near_components() with mark and root (of the component; null without shingles)."""
     rows = cut(featured(docs, k, id_col, text_col), "shingles")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "sig", "sketch")).alias("_r")
-    reps = cut(rows.where("n_shingles > 0").groupBy("cid").agg(low).select("cid", "_r.doc_id", "_r.sig", "_r.sketch"), "classes")
-    roots = [F.lit(r).cast("long") for r in range(trees_for(recall, similarity))]
-    level = branch(reps.select("cid", "sig", F.explode(F.array(*roots)).alias("node")))
-    done, rest = [], None
+    reps = rows.where("n_shingles > 0").groupBy("cid").agg(low, F.count(F.lit(1)).alias("_copies"))
+    reps = cut(reps.select("cid", "_r.doc_id", "_r.sig", "_r.sketch", "_copies"), "classes")
+    trees = [F.lit(r).cast("long") for r in range(trees_for(recall, similarity))]
+    level = branch(reps.select("cid", "sig", F.explode(F.array(*trees)).alias("node")))
+    done, used, rest = [], [], None
     for depth in range(LEVELS):
         members = counted(level)
+        used.append(members)
         done.append(members.where(F.col("n") <= NODE).select("node", "cid"))
         large = members.where(F.col("n") > NODE)
         if depth < LEVELS - 1:
@@ -366,6 +426,7 @@ def in_components(docs: DataFrame, k: int, similarity: float, recall: float, id_
 
     def linked(members: DataFrame) -> DataFrame:
         clusters = cut(candidates(members.join(reps.select("cid", "sketch"), "cid"), similarity).distinct(), "clusters")
+        used.append(clusters)
         wanted = clusters.select("cid").distinct().join(reps.select("cid", F.col("doc_id").alias("_id")), "cid")
         texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
         texts = texts.join(wanted, F.col("_doc").eqNullSafe(F.col("_id"))).select("cid", "text")
@@ -376,13 +437,19 @@ def in_components(docs: DataFrame, k: int, similarity: float, recall: float, id_
         # What the trees connected stands for its links.
         more = linked(paired(rest, roots)).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = cut(components(more), "components")
+    discard(*used)
     ids = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id")
-    tops = reps.select(F.col("cid").alias("node"), "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    heads = tops.groupBy("root").agg(F.min(ids).alias("_h")).select("root", F.col("_h.doc_id").alias("component_id"))
-    named = tops.join(heads, "root").select(F.col("node").alias("cid"), "root", "component_id")
-    out = rows.select("doc_id", "mark", "n_shingles", "cid").join(named, "cid", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "mark", "root", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    tops = reps.select(F.col("cid").alias("node"), "doc_id", "_copies").join(roots, "node", "left")
+    tops = cut(tops.select("node", "doc_id", "_copies", F.coalesce("root", "node").alias("root")), "classes")
+    heads = tops.groupBy("root").agg(F.min(ids).alias("_h"), F.count(F.lit(1)).alias("_n")).select("root", F.col("_h.doc_id").alias("component_id"), "_n")
+    named = join_uneven(tops, heads, ["root"], "_n", reps.count()).select(F.col("node").alias("cid"), "root", "component_id", "_copies")
+    named = cut(named, "components")
+    discard(tops)
+    own = rows.select("doc_id", "mark", "n_shingles", "cid")
+    alone = own.where("n_shingles = 0").select("doc_id", "mark", F.lit(None).cast("binary").alias("root"), "n_shingles", F.col("doc_id").alias("component_id"))
+    out = join_uneven(own.where("n_shingles > 0"), named, ["cid"], "_copies", rows.count())
+    out = out.select("doc_id", "mark", "root", "n_shingles", "component_id").unionByName(alone)
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
