@@ -11,10 +11,10 @@ from .near_dedup import op9_near_dedup
 from .pii import op2_pii
 from .quality import op6_quality
 from .topk import OP1_SQL, op1_topk
-from .url_filter import op5_url_filter
+from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (op1_topk, op2_pii, op3_bpe, op4_language, op5_url_filter, op6_quality, op7_mixing, op8_exact_dedup, op9_near_dedup, op10_html)
 }
-ORACLE_SQL = {"op1_topk": OP1_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLE_SQL = {"op1_topk": OP1_SQL, "op5_url_filter": OP5_SQL, "op8_exact_dedup": OP8_SQL}
