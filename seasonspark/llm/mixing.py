@@ -9,8 +9,9 @@ the blocks are joined by source and index; the last slot of a source is cut
 where the target is reached.
 
 Where a document begins in its source's stream is a prefix sum: documents are
-dealt to buckets by a hash of their id, bucket sums are added up per source,
-and running sums stay inside a bucket, so that no task holds a source.
+dealt to buckets by a hash of their id, and buckets to strips; running sums go
+over the strips of a source, the buckets of a strip and the documents of a
+bucket, so that no task holds a source.
 
 Defined cases: null texts have no words and nothing is taken of them; a null
 source is a source of its own, last in order; rows that repeat an id are
@@ -30,8 +31,8 @@ from ._shared import cut, rows_of, table
 
 BLOCK = 512
 SHARDS = 64
-#: Documents in a bucket of the prefix sums, about.
-BUCKET_DOCS = 5_000
+#: Documents in a bucket of the prefix sums, about, and buckets in a strip.
+BUCKET_DOCS, STRIP = 500, 1_000
 #: Slots that one row of the plan expands to.
 STRIDE = 4_096
 MAX_SOURCES = 100_000
@@ -54,22 +55,29 @@ def targets(sizes: list[int], weights: list[float], share: float, most: float =
     return out
 
 
-def permuted(i, n, key):
-    """Where a keyed permutation of 0..n-1 puts each i: a Feistel network over the next power of four, walked until inside."""
+def permuted(i, n, key, back: bool = False):
+    """Where a keyed permutation of 0..n-1 puts each i: a Feistel network over the next power of four, walked until inside; or, back, what it puts at i."""
     import numpy as np
 
     i, n, key = np.asarray(i, np.uint64).copy(), np.asarray(n, np.uint64), np.asarray(key, np.uint64)
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2).astype(float) + 1) / 2))).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
     todo = np.arange(len(i))
+
+    def mixed(x, turn, k, m):
+        x = (x + k + np.uint64(turn + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(32))) & m
+
     with np.errstate(over="ignore"):
         while len(todo):
             h, m, k = half[todo], mask[todo], key[todo]
             left, right = i[todo] >> h, i[todo] & m
-            for r in range(6):
-                x = (right + k + np.uint64(r + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                left, right = right, left ^ ((x ^ (x >> np.uint64(32))) & m)
+            for r in reversed(range(6)) if back else range(6):
+                if back:
+                    left, right = right ^ mixed(left, r, k, m), left
+                else:
+                    left, right = right, left ^ mixed(right, r, k, m)
             i[todo] = left << h | right
             todo = todo[i[todo] >= n[todo]]
     return i.astype(np.int64)
@@ -86,36 +94,26 @@ def pass_key(seed: int, source: int, turn):
 def slots_for(words: int, size: int, block: int, source: int, seed: int) -> tuple[int, int]:
     """How many slots a source needs for so many words, and how many words the last of them takes.
 
-    Only the last block of a stream is short; where each pass puts it decides.
+    Only the last block of a stream is short; where each pass puts it, which the
+    inverse of the pass's permutation tells at once, decides.
     """
     n = -(-size // block)
     short = size - (n - 1) * block
-    lost = block - short
     if words <= 0:
         return 0, 0
-    hits = []  # slots that hold the short block
-    for turn in range(-(-words // size)):
-        lo = 0
-        while lo < n:  # found in chunks: the inverse of the permutation at its last index
-            import numpy as np
-
-            i = np.arange(lo, min(n, lo + 1_000_000))
-            at = np.flatnonzero(permuted(i, np.full(len(i), n), np.full(len(i), pass_key(seed, source, turn))) == n - 1)
-            if len(at):
-                hits.append(turn * n + lo + int(at[0]))
-                break
-            lo += 1_000_000
+    turns = -(-words // size)
+    at = permuted([n - 1] * turns, [n] * turns, pass_key(seed, source, range(turns)), back=True)
     slots, before = 0, 0
-    for h in [*hits, None]:
+    for h in [*(turn * n + int(x) for turn, x in enumerate(at)), None]:  # slots that hold the short block
         need = -(-(words - before) // block)
         if h is None or slots + need <= h:
-            return slots + need, words - before - (need - 1) * block
+            break
         before += (h - slots) * block
         slots = h + 1
         if words - before <= short:
             return slots, words - before
         before += short
-    raise AssertionError(lost)
+    return slots + need, words - before - (need - 1) * block
 
 
 def shard_counts(slots: list[int], shards: int, seed: int):
@@ -136,15 +134,24 @@ def shard_counts(slots: list[int], shards: int, seed: int):
 
 
 def located(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
-    """Each document with its size and where it begins in its source's stream; sizes of sources."""
-    size = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(id_col, text_col).alias("_mark"))
+    """Each document with its size, in words of its text or elements of its list, and where it begins in its source's stream; sizes of sources."""
+    if docs.schema[text_col].dataType.typeName() == "array":
+        size = F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(text_col)), F.lit(0))
+    else:
+        size = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0)))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), F.xxhash64(id_col, text_col).alias("_mark"))
     rows = cut(rows, "mix-sizes")
     buckets = max(1, rows.count() // BUCKET_DOCS)
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "_mark"), F.lit(buckets)).cast("int"))
     sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    sums = sums.withColumn("_strip", F.floor(F.col("_bucket") / STRIP))
+    strips = sums.groupBy("source", "_strip").agg(F.sum("_sum").alias("_sum"))
+    of_source = Window.partitionBy("source").orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
+    strips = strips.select(F.col("source").alias("_s"), F.col("_strip").alias("_t"), F.coalesce(F.sum("_sum").over(of_source), F.lit(0)).alias("_far"))
+    of_strip = Window.partitionBy("source", "_strip").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_near", F.coalesce(F.sum("_sum").over(of_strip), F.lit(0)))
+    sums = sums.join(strips, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_strip") == F.col("_t")))
+    sums = cut(sums.select("source", "_bucket", "_sum", (F.col("_far") + F.col("_near")).alias("_before")), "mix-buckets")
     inside = Window.partitionBy("source", "_bucket").orderBy("doc_id", "_mark").rowsBetween(Window.unboundedPreceding, -1)
     run = rows.withColumn("_run", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     s = sums.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), "_before")
@@ -217,6 +224,28 @@ def taken(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
     return joined.select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), "_mark")
 
 
+def packed_blocks(encoded: DataFrame, block: int = BLOCK, id_col: str = "doc_id", ids_col: str = "ids", source_col: str = "source", **how) -> DataFrame:
+    """A row for each output slot: shard, slot (of the source), source, index (block of the source) and ids, block of them but in the last slot of a source.
+
+    encoded: documents with their token ids; null lists are empty. Blocks are
+    packed over the ends of documents and joined to the slots by source and index.
+    """
+    placed, slots = mixture(encoded, block=block, id_col=id_col, text_col=ids_col, source_col=source_col, **how)
+    own = encoded.select(F.xxhash64(id_col, ids_col).alias("_mark"), F.col(ids_col).alias("_ids")).dropDuplicates(["_mark"])
+    first, last = F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block)
+
+    def piece(j):
+        lo, hi = F.greatest(j * block, F.col("_start")), F.least((j + 1) * block, F.col("_start") + F.col("size"))
+        return F.struct(j.alias("index"), lo.alias("at"), F.slice("_ids", (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int")).alias("ids"))
+
+    pieces = placed.where("size > 0").join(own.hint("merge"), "_mark").select("_i", "source", F.explode(F.transform(F.sequence(first, last), piece)).alias("_p"))
+    # At most block ids a group.
+    blocks = pieces.groupBy("_i", F.col("_p.index").alias("index")).agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("_p.at", "_p.ids"))).alias("_ps"))
+    blocks = blocks.select("_i", "index", "source", F.flatten(F.transform("_ps", lambda p: p["ids"])).alias("_ids"))
+    out = slots.hint("merge").join(blocks, ["_i", "index"])
+    return out.select("shard", "slot", "source", "index", F.slice("_ids", 1, F.col("take").cast("int")).alias("ids"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, slots = mixture(table(spark, sf_dir, "documents"))
     return taken(placed, slots).select("doc_id", "size", "source_size", "target", "taken")
