@@ -86,17 +86,32 @@ def fit(x: np.ndarray, y: np.ndarray, x_weights: np.ndarray, y_weights: np.ndarr
     return Fit(a, b, vt[:k], u[:, :k], s[:k], len(x))
 
 
-def north_modes(field: np.ndarray, weights: np.ndarray, ceiling: int = 10) -> int:
-    """Leading modes whose variance is the mean one at least and stands off the next by more than its sampling error."""
-    centred = field - np.nanmean(field, axis=0)
-    lam = np.linalg.svd(np.nan_to_num(centred) * weights, compute_uv=False) ** 2
-    lam = lam[: len(field) - 1]
-    n, kept = len(field), 0
-    for i in range(min(ceiling, len(lam) - 1)):
-        if lam[i] < lam.mean() or lam[i] - lam[i + 1] <= lam[i] * np.sqrt(2 / n):
+def north_modes(field: np.ndarray, weights: np.ndarray, ceiling: int = 10, standard: bool = False, share: float = 1.0) -> int:
+    """Leading modes by variance: up to the first that falls below share of the mean one, or that does not stand off the next by more than its sampling error.
+
+    The latter still counts; at least one does, and ceiling at most. Cells with a gap are left out.
+    """
+    whole = np.isfinite(field).all(0)
+    a = field[:, whole] - field[:, whole].mean(0)
+    if standard and len(a) > 1:
+        sd = a.std(axis=0, ddof=1)
+        a = a / np.where(sd < 1e-20, 1.0, sd)
+    lam = np.linalg.svd(a * weights[whole], compute_uv=False) ** 2
+    lam = lam[lam > 0]
+    kept = 1
+    for i in range(min(len(lam) - 1, ceiling)):
+        if lam[i] < share * lam.mean():
+            break
+        kept = i + 1
+        if lam[i] - lam[i + 1] <= lam[i] * np.sqrt(2 / len(field)):
             break
-        kept += 1
-    return max(kept, 1)
+    return max(1, min(kept, ceiling))
+
+
+def capped_modes(ranges: list[tuple[int, int]], years: int, window: int) -> list[tuple[int, int]]:
+    """Ranges of modes within what the years that a fold leaves can carry."""
+    most = max(1, years - window - 2)
+    return [(min(a, most), min(b, most)) for a, b in ranges]
 
 
 def matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, list, np.ndarray, np.ndarray]:

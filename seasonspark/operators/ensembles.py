@@ -5,6 +5,9 @@ Forecasts: keys, model, value (or probabilities). Tables by model have a row a m
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,33 +77,47 @@ def contributions(forecasts: DataFrame, combined: DataFrame) -> DataFrame:
 def bma(forecasts: DataFrame, obs: DataFrame, keys: list[str], rounds: int = 200, tolerance: float = 1e-7, floor: float = 1e-12) -> list[tuple[str, float, float]]:
     """(model, weight, variance) of a mixture of normals by expectation and maximisation.
 
-    Errors of all models stand in one row a sample; each round is one pass with partial sums, and only sums by model come to the driver. Samples
-    that miss a model are left out.
+    Errors of all models stand in one row a sample; each pass gives partial sums, and only sums by model come to the driver. Two steps are followed by
+    one along the squared extrapolation of both, taken back where it lowers the likelihood, so that few passes are needed. Samples that miss a model
+    are left out.
     """
     models = sorted(r[0] for r in forecasts.select("model").distinct().limit(MOST_MODELS + 1).collect())
     if len(models) > MOST_MODELS:
         raise ValueError(f"more than {MOST_MODELS} models")
     wide = forecasts.groupBy(*keys).pivot("model", models).agg(F.first("value")).join(obs, keys)
     errors = wide.select(*[(F.col(f"`{m}`") - F.col("obs")).alias(f"e{i}") for i, m in enumerate(models)]).dropna().persist()
+    k = len(models)
+
+    def step(w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Weights and variances after one round, and the likelihood's logarithm before it."""
+        e2 = [F.col(f"e{i}") * F.col(f"e{i}") for i in range(k)]
+        logs = [F.lit(math.log(max(w[i], 1e-300)) - 0.5 * math.log(v[i])) - e2[i] / (2 * float(v[i])) for i in range(k)]
+        z = errors.select("*", (F.greatest(*logs) if k > 1 else logs[0]).alias("top"), *[x.alias(f"l{i}") for i, x in enumerate(logs)])
+        z = z.select("*", *[F.exp(F.col(f"l{i}") - F.col("top")).alias(f"z{i}") for i in range(k)])
+        whole = sum((F.col(f"z{i}") for i in range(1, k)), F.col("z0"))
+        s = z.agg(*[F.sum(F.col(f"z{i}") / whole) for i in range(k)], *[F.sum(F.col(f"z{i}") / whole * e2[i]) for i in range(k)], F.sum(F.col("top") + F.log(whole))).first()
+        n = np.array(s[:k])
+        return n / n.sum(), np.maximum(np.array(s[k : 2 * k]) / np.where(n > 0, n, 1.0), floor), s[2 * k]
+
     try:
-        k = len(models)
         first = errors.agg(F.count(F.lit(1)), *[F.var_pop(f"e{i}") for i in range(k)]).first()
         if not first[0]:
             raise ValueError("no sample has all models and an observation")
-        w, v = [1 / k] * k, [max(x, floor) for x in first[1:]]
-        for _ in range(rounds):
-            e2 = [F.col(f"e{i}") * F.col(f"e{i}") for i in range(k)]
-            logs = [F.log(F.lit(max(w[i], 1e-300))) - 0.5 * (F.log(F.lit(v[i])) + e2[i] / v[i]) for i in range(k)]
-            top = F.greatest(*logs) if k > 1 else logs[0]
-            z = errors.select("*", *[F.exp(x - top).alias(f"z{i}") for i, x in enumerate(logs)])
-            whole = sum((F.col(f"z{i}") for i in range(1, k)), F.col("z0"))
-            s = z.agg(*[F.sum(F.col(f"z{i}") / whole) for i in range(k)], *[F.sum(F.col(f"z{i}") / whole * e2[i]) for i in range(k)]).first()
-            new = [s[i] / first[0] for i in range(k)]
-            v = [max(s[k + i] / (s[i] if s[i] > 0 else 1.0), floor) for i in range(k)]
-            moved = max(abs(a - b) for a, b in zip(new, w, strict=True))
-            w = new
-            if moved < tolerance:
+        w, v = np.full(k, 1 / k), np.array([max(x, floor) for x in first[1:]])
+        for _ in range(max(1, rounds // 3)):
+            w1, v1, _ = step(w, v)
+            w2, v2, _ = step(w1, v1)
+            if np.abs(w2 - w1).max() < tolerance and np.abs(np.log(v2 / v1)).max() < tolerance:
+                w, v = w2, v2
                 break
-        return [(m, w[i] / sum(w), v[i]) for i, m in enumerate(models)]
+            at = [np.concatenate([a, np.log(b)]) for a, b in ((w, v), (w1, v1), (w2, v2))]
+            r, c = at[1] - at[0], at[2] - 2 * at[1] + at[0]
+            far = -max(1.0, np.sqrt((r @ r) / max(c @ c, 1e-300)))
+            leap = at[0] - 2 * far * r + far * far * c
+            wl, vl = np.maximum(leap[:k], 1e-12), np.maximum(np.exp(np.clip(leap[k:], -700, 700)), floor)
+            w3, v3, good = step(wl / wl.sum(), vl)
+            w4, v4, safe = step(w2, v2)
+            w, v = (w3, v3) if np.isfinite(good) and good >= safe else (w4, v4)
+        return [(m, float(w[i]), float(v[i])) for i, m in enumerate(models)]
     finally:
         errors.unpersist()

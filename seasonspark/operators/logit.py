@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def binomial(x: np.ndarray, y: np.ndarray, at: float, penalty: float = 0.0, least: int = 10) -> tuple[float, float]:
@@ -119,5 +120,11 @@ def forecast(rows: DataFrame, at: float, model: str = "binomial", penalty: float
             p = np.full(3, math.nan)
         return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "p_below": [p[0]], "p_normal": [p[1]], "p_above": [p[2]]})
 
+    def run(batches):
+        for pdf in batches:
+            yield pd.concat([one(pd.DataFrame({"cell": cell, "x": [r["x"] for r in rs], "value": [r["value"] for r in rs]}, dtype=None)) for cell, rs in zip(pdf["cell"], pdf["_r"], strict=True)], ignore_index=True)
+
     kind = dict(rows.dtypes)["cell"]
-    return rows.select("cell", "x", "value").groupBy("cell").applyInPandas(one, f"cell {kind}, p_below double, p_normal double, p_above double")
+    # A row a cell, many to a batch.
+    records = rows.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("value").cast("double").alias("value")))).alias("_r"))
+    return records.mapInPandas(run, f"cell {kind}, p_below double, p_normal double, p_above double")

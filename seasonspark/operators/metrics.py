@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from seasonspark.functions.special import at_least, normal_cdf, normal_pdf
 
 
+#: Strips of running sums.
+STRIPS = 64
+
+
 def rps_terms(pairs: DataFrame) -> DataFrame:
     """Adds rps and clim, the halved squared distances of cumulative probabilities. pairs: cat, p_below, p_normal."""
     o1, o2 = (F.col("cat") <= 0).cast("double"), (F.col("cat") <= 1).cast("double")
@@ -61,14 +65,30 @@ def two_afc(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys).where("o1 > o2").groupBy(*keys).agg(F.avg(won).alias("score"))
 
 
+def in_strips(rows: DataFrame, by: str, keys: list[str] | None = None) -> DataFrame:
+    """Adds _strip, from 0: strips of about equal numbers of rows in the order of a column, so that running sums need no task with all rows."""
+    cuts = rows.agg(F.percentile_approx(by, [i / STRIPS for i in range(1, STRIPS)], 1_000)).first()[0] or []
+    return rows.withColumn("_strip", sum((F.when(F.col(by) > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)))
+
+
+def running(rows: DataFrame, by: str, value: str, keys: list[str] | None = None) -> DataFrame:
+    """Adds under, the sum of a value over the rows before (by is distinct within the keys)."""
+    keys = keys or []
+    held = in_strips(rows, by)
+    # A row a strip and key.
+    sums = held.groupBy(*keys, "_strip").agg(F.sum(value).alias("_sum"))
+    upto = Window.partitionBy(*keys).orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_strip", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_far"))
+    inside = Window.partitionBy(*keys, "_strip").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    near = held.withColumn("_near", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return near.join(sums, [*keys, "_strip"]).withColumn("under", F.col("_far") + F.col("_near")).drop("_far", "_near", "_strip")
+
+
 def roc_area(pairs: DataFrame, event: Column, p: str) -> DataFrame:
     """Area under the curve from rank sums, ties half."""
-    w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     hist = pairs.groupBy(F.col(p).alias("p")).agg(F.sum(event.cast("long")).alias("hit"), F.sum((~event).cast("long")).alias("miss"))
-    # One row a distinct probability: member counts give a few dozen.
-    run = hist.select("hit", "miss", F.coalesce(F.sum("miss").over(w), F.lit(0)).alias("under"))
     area = F.sum(F.col("hit") * (F.col("under") + F.col("miss") / 2)) / (F.sum("hit") * F.sum("miss"))
-    return run.agg(area.alias("area"))
+    return running(hist, "p", "miss").agg(area.alias("area"))
 
 
 def reliability_bins(pairs: DataFrame, event: Column, p: str, bins: int = 5) -> DataFrame:
@@ -104,10 +124,17 @@ def loo_correlation(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def fdr_bh(tests: DataFrame, p: str = "p") -> DataFrame:
     """Benjamini-Hochberg q values over one family of tests."""
-    m = F.count(p).over(Window.partitionBy(F.lit(0)))
-    ranked = tests.where(F.col(p).isNotNull()).withColumn("_q", F.col(p) * m / F.rank().over(Window.orderBy(p)))
-    up = Window.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min("_q").over(up))).drop("_q")
+    held = tests.where(F.col(p).isNotNull())
+    each = running(held.groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n")), "_p", "_n")
+    m = each.agg(F.sum("_n")).first()[0] or 0
+    each = in_strips(each.select("_p", (F.col("_p") * F.lit(m) / (F.col("under") + 1)).alias("_q")), "_p")
+    # The least from a value on: of its strip's rest, and of the strips after.
+    after = Window.orderBy(F.col("_strip").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row a strip
+    least = each.groupBy("_strip").agg(F.min("_q").alias("_m")).select("_strip", F.min("_m").over(after).alias("_beyond"))
+    rest = Window.partitionBy("_strip").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    q = each.withColumn("_q", F.min("_q").over(rest)).join(F.broadcast(least), "_strip")
+    q = q.select("_p", F.least(F.lit(1.0), "_q", F.coalesce("_beyond", F.lit(1.0))).alias("q"))
+    return held.join(q, F.col(p) == F.col("_p")).drop("_p")
 
 
 def crps_normal(mu: Column, sigma: Column, obs: Column) -> Column:
@@ -131,8 +158,7 @@ def groc(pairs: DataFrame) -> DataFrame:
     keep = [(F.col("cat") == c) | (F.col("cat") == o) for c in range(3) for o in range(3) if c != o]
     dealt = pairs.select(F.explode(F.array_compact(F.array(*[F.when(k, s) for k, s in zip(keep, sides, strict=True)]))).alias("s"))
     hist = dealt.groupBy("s.k", "s.p").agg(F.sum(F.col("s.hit").cast("long")).alias("hit"), F.sum((~F.col("s.hit")).cast("long")).alias("miss"))
-    w = Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    run = hist.select("k", "hit", "miss", F.coalesce(F.sum("miss").over(w), F.lit(0)).alias("under"))
+    run = running(hist, "p", "miss", ["k"])
     area = F.sum(F.col("hit") * (F.col("under") + F.col("miss") / 2)) / (F.sum("hit") * F.sum("miss"))
     areas = run.groupBy("k").agg(F.when(F.sum("hit") * F.sum("miss") > 0, area).alias("a"))
     return areas.agg(F.when(F.count("a") == 6, F.avg("a")).alias("groc"))
@@ -169,27 +195,33 @@ def score_pair(rows: DataFrame, keys: list[str]) -> DataFrame:
 def permutation_test(pairs: DataFrame, rounds: int = 5000, alternative: str = "greater", seed: int = 0) -> DataFrame:
     """Share of permutations of y with a leave-one-out correlation at least as extreme, the data's own counted. pairs: cell, x, y; a cell's record is a group."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna()
-        n, cell = len(pdf), pdf["cell"].iloc[0] if len(pdf) else None
-        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+    def one(x: np.ndarray, y: np.ndarray) -> tuple[float | None, float | None]:
+        n = len(x)
         if n < 5 or np.ptp(x) == 0:
-            return pd.DataFrame({"cell": [cell] if n else [], "statistic": [None] if n else [], "p": [None] if n else []}, dtype=object)
+            return None, None
         c = x - x.mean()
         h = 1 / n + c * c / (c @ c)
         hat = np.outer(c, c) / (c @ c) + 1 / n
         rng = np.random.default_rng(seed)
-        ys = np.vstack([y, *[rng.permutation(y) for _ in range(rounds)]])
+        ys = np.vstack([y, rng.permuted(np.tile(y, (rounds, 1)), axis=1)])
         ps = ys - (ys - ys @ hat) / (1 - h)
         a, b = ps - ps.mean(1, keepdims=True), ys - ys.mean(1, keepdims=True)
         with np.errstate(invalid="ignore", divide="ignore"):
             r = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
         own, rest = r[0], r[1:]
         more = {"greater": rest >= own - 1e-12, "less": rest <= own + 1e-12, "two-sided": np.abs(rest) >= abs(own) - 1e-12}[alternative]
-        return pd.DataFrame({"cell": [cell], "statistic": [own], "p": [(1 + more.sum()) / (rounds + 1)]})
+        return float(own), float((1 + more.sum()) / (rounds + 1))
+
+    def run(batches):
+        for pdf in batches:
+            done = [one(*(np.array([r[c] for r in rows], float) for c in "xy")) for rows in pdf["_r"]]
+            yield pd.DataFrame({"cell": pdf["cell"], "statistic": [d[0] for d in done], "p": [d[1] for d in done]})
 
     kind = dict(pairs.dtypes)["cell"]
-    return pairs.select("cell", "x", "y").groupBy("cell").applyInPandas(one, f"cell {kind}, statistic double, p double")
+    # A row a cell, many to a batch.
+    whole = F.when(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"), F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    records = pairs.groupBy("cell").agg(F.array_sort(F.collect_list(whole)).alias("_r"))
+    return records.mapInPandas(run, f"cell {kind}, statistic double, p double")
 
 
 def anomaly(value: str) -> Column:

@@ -19,15 +19,21 @@ def consecutive(years: list[int]) -> list[int]:
     return ys
 
 
+def at_least_one(n: int, what: str) -> int:
+    if n < 1:
+        raise ValueError(f"{what} must be at least 1")
+    return n
+
+
 def loyo(years: list[int], window: int = 1) -> list[Fold]:
-    """One year held; window years around it, cut at the ends, are kept from training."""
-    ys, half = consecutive(years), window // 2
+    """One year held; the years up to (window - 1) // 2 away from it, cut at the ends, are kept from training."""
+    ys, half = consecutive(years), (at_least_one(window, "window") - 1) // 2
     return [([y], [t for t in ys if abs(t - y) > half]) for y in ys]
 
 
 def loyo_cyclic(years: list[int], window: int = 1) -> list[Fold]:
     """As loyo, on a ring of years."""
-    ys, half = consecutive(years), window // 2
+    ys, half = consecutive(years), (at_least_one(window, "window") - 1) // 2
     n = len(ys)
     return [([y], [t for t in ys if min((t - y) % n, (y - t) % n) > half]) for y in ys]
 
@@ -35,6 +41,8 @@ def loyo_cyclic(years: list[int], window: int = 1) -> list[Fold]:
 def lko(years: list[int], k: int = 3) -> list[Fold]:
     """Every run of k years is held."""
     ys = consecutive(years)
+    if at_least_one(k, "k") > len(ys):
+        raise ValueError(f"{k} years are more than the {len(ys)} there are")
     runs = [ys[i : i + k] for i in range(len(ys) - k + 1)]
     return [(run, [t for t in ys if t not in run]) for run in runs]
 
@@ -42,6 +50,8 @@ def lko(years: list[int], k: int = 3) -> list[Fold]:
 def blocked(years: list[int], block: int = 5, gap: int = 0) -> list[Fold]:
     """Whole blocks in turn, with a gap on both sides; an incomplete last block is left out."""
     ys = consecutive(years)
+    if at_least_one(block, "block") and gap < 0:
+        raise ValueError("gap must not be negative")
     starts = range(0, len(ys) - block + 1, block)
     return [(ys[s : s + block], [t for t in ys if t < ys[s] - gap or t > ys[s + block - 1] + gap]) for s in starts]
 
