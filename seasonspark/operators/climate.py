@@ -124,3 +124,17 @@ def pixel_standardize(members: DataFrame, climatology: DataFrame) -> DataFrame:
     c = climatology.groupBy("cell").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
     z = (F.col("_v") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s"))
     return members.groupBy("cell", "year").agg(F.avg("value").alias("_v")).join(c, "cell", "left").select("cell", "year", z.alias("z"))
+
+
+def cosine_weight(lat: Column) -> Column:
+    """Weight of a latitude, 0 at least."""
+    return F.greatest(F.cos(F.radians(lat)), F.lit(0.0))
+
+
+def custom_index(rows: DataFrame, boxes: dict[str, Column], combine, how: str = "raw") -> DataFrame:
+    """year and value: boxes, each reduced by index_box(), combined by a function of a mapping from names to columns."""
+    out = None
+    for name, inside in boxes.items():
+        one = index_box(rows, inside, how).withColumnRenamed("index", name)
+        out = one if out is None else out.join(one, "year")
+    return out.select("year", combine({n: F.col(n) for n in boxes}).alias("value"))

@@ -87,3 +87,8 @@ def mask_by_skill(rows: DataFrame, skill: DataFrame, cell: list[str], threshold:
 
 def dry_mask(climatology: DataFrame, threshold: float) -> DataFrame:
     return climatology.withColumn("dry", F.col("value") < threshold)
+
+
+def around(grid: DataFrame, south: float, north: float, west: float, east: float, margin: float = 0.5) -> DataFrame:
+    """Cells within a box and a margin around it."""
+    return grid.where(F.col("lat").between(south - margin, north + margin) & F.col("lon").between(west - margin, east + margin))

@@ -1 +1 @@
-from seasonspark.plans import catalog, forecasts  # noqa: F401  registers the queries
+from seasonspark.plans import axes, catalog, forecasts, pipelines  # noqa: F401  registers the queries
