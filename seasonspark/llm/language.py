@@ -9,7 +9,8 @@ that were set aside. Every whole text is scored.
 Defined cases: a text that is null or has no letter is `und` with score 0, as
 is every text when there is nothing to learn from; rows with a null language
 teach nothing; a null id is neither held out nor learned from; repeated rows
-repeat their result; an empty table gives an empty result; only text, language
+repeat their result; an empty table gives an empty result; more than MAX_LANGS
+languages raise an error; only text, language
 and id are read, and the last two never for a prediction.
 """
 

@@ -1,37 +1,40 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
 Both views are logistic regressions. They start from labelled rows; in each
-round either view hands its most confident verdicts on unlabelled rows to the
-other view's training set. On labelled rows that neither trained on, each view
-is calibrated by a slope and an offset, and a last regression weighs the two
-calibrated views; a view without information gets next to no weight. All
-documents are then scored from their whole text and their metadata.
-
-What is fitted sees a bounded sample: at most MAX_LABELLED labelled rows and
-MAX_POOL unlabelled ones, those with the smallest hashes of their ids. Scoring
-covers every row.
+round either view judges all unlabelled documents and hands HANDED of its
+confident verdicts of either kind, drawn by a keyed hash, to the other view's
+training set. On labelled rows that neither trained on, each view is calibrated
+by a slope and an offset, and a last regression weighs the two calibrated views;
+a view without information gets next to no weight. All documents are then scored
+from their whole text and their metadata.
+
+The fit sees at most `most` labelled rows (MAX_LABELLED, and a quarter more),
+those with the smallest hashes of their ids, and what was handed over. The scale
+of features, the exchange and the scores cover every row; a task and the driver
+hold HANDED rows of each kind.
 
 Defined cases: a null text has the features of the empty one; null metadata
 count as a value of its own, a null n_chars as 0; labels other than 0 and 1,
-null ids in labels and ids with labels of both kinds are left out; without
-labels of both kinds every document is accepted with score 1; repeated rows
-repeat their score; an empty table gives an empty result.
+null ids in labels and ids with labels of both kinds are left out; with fewer
+than 40 labelled rows, or one kind only on either side of the split, all of them
+train and calibrate; without labels of both kinds every document is accepted with
+score 1; repeated rows repeat their score and are handed over once; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import lean, table
+from ._shared import cut, discard, lean, table
 
 MAX_LABELLED = 4_000
-MAX_POOL = 4_000
 ROUNDS = 4
-#: Share of the pool that a view hands over in a round, from either end, if it is this sure.
-HANDED, SURE = 0.05, 0.95
+#: Documents of either kind that a view hands over in a round, if it is this sure.
+HANDED, SURE = 200, 0.95
 #: A document below this combined probability of being good is rejected.
 ACCEPT = 0.5
 BUCKETS = 32
@@ -78,27 +81,90 @@ def columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), meta("source", "string"), meta("lang", "string"), meta("n_chars", "double"))
 
 
-def sample(rows: DataFrame, labels: DataFrame, label_id: str, label: str) -> list:
-    """Features and label (null: unlabelled) of the bounded sample."""
+def featured(rows: DataFrame) -> DataFrame:
+    """doc_id, mark (hash of id and text), x (features of the text), source, lang, n_chars."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            xs = [text_features(t.as_py()).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), pa.array(xs, pa.binary()), b.column(2), b.column(3), b.column(4)], names=["doc_id", "mark", "x", "source", "lang", "n_chars"])
+
+    rows = rows.withColumn("mark", F.xxhash64("doc_id", "text"))
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, mark bigint, x binary, source string, lang string, n_chars double")
+
+
+def arrays(batch) -> list:
+    """The two views of a batch of featured rows."""
+    import numpy as np
+
+    x, *metas = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("x", "source", "lang", "n_chars"))
+    return [np.frombuffer(b"".join(x), np.float32).reshape(len(x), -1).astype(float), np.array([metadata_features(*r) for r in zip(*metas, strict=True)], float)]
+
+
+def scales(held: DataFrame) -> list:
+    """Mean and deviation of every feature of both views over all rows."""
+    import numpy as np
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total = None
+        for b in batches:
+            if b.num_rows:
+                v = np.hstack(arrays(b))
+                own = np.array([np.full(v.shape[1], float(len(v))), v.sum(0), (v * v).sum(0)])
+                total = own if total is None else total + own
+        n, s, q = (total if total is not None else np.empty((3, 0))).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array(n), pa.array(s), pa.array(q)], names=["k", "n", "s", "q"])
+
+    got = held.mapInArrow(run, "k int, n double, s double, q double").groupBy("k").agg(*[F.sum(c).alias(c) for c in "nsq"]).orderBy("k").collect()  # a row a feature
+    n, s, q = (np.array([r[c] for r in got]) for c in "nsq")
+    mean, dev = s / n, np.sqrt(np.maximum(q / n - (s / n) ** 2, 0)) + 1e-3
+    at = len(got) - 2 * BUCKETS - 2
+    return [(mean[:at], dev[:at]), (mean[at:], dev[at:])]
+
+
+def labelled_rows(held: DataFrame, labels: DataFrame, label_id: str, label: str, most: int) -> list:
+    """Featured rows with label _y of the bounded sample."""
     good = labels.where(F.col(label).isin(0, 1) & F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(F.min(label).alias("_y"), F.max(label).alias("_most"))
     # Hashes spread evenly: a bound on the hash leaves about the asked number, and limit() makes it the most.
     n = good.count()
-    few = good.where("_y = _most").where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) <= min(1.0, MAX_LABELLED / max(1, n)) * (1 << 30)).limit(MAX_LABELLED + MAX_LABELLED // 4)
-    labelled = rows.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).drop("_id", "_most")
-    total = rows.count()
-    pool = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) <= min(1.0, MAX_POOL / max(1, total)) * (1 << 30)).withColumn("_y", F.lit(None).cast("int")).limit(MAX_POOL + MAX_POOL // 4)
-    both = labelled.select("doc_id", "text", "source", "lang", "n_chars", F.col("_y").cast("int").alias("_y")).unionByName(pool)
+    few = good.where("_y = _most").where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) <= min(1.0, most / max(1, n)) * (1 << 30)).limit(most + most // 4)
+    rows = held.join(F.broadcast(few), F.col("doc_id") == F.col("_id"))
+    return sorted(rows.select("mark", "x", "source", "lang", "n_chars", F.col("_y").cast("int").alias("_y")).dropDuplicates(["mark"]).collect(), key=lambda r: r["mark"])
+
+
+def handed(held: DataFrame, model: dict, taken: set, turn: int) -> list:
+    """slot and featured row of the documents that the views are sure of, HANDED of each slot (2 * view + kind), outside taken."""
+    import numpy as np
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        best = {k: [] for k in range(4)}
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(6)]
-            xs = [text_features(t).tobytes() for t in cols[1]]
-            ms = [metadata_features(*r).tobytes() for r in zip(*cols[2:5], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in cols[0]]), pa.array(xs, pa.binary()), pa.array(ms, pa.binary()), pa.array(cols[5], pa.int32())], names=["id", "x", "m", "y"])
-
-    return both.mapInArrow(run, "id string, x binary, m binary, y int").collect()
+            mark = b.column(b.schema.get_field_index("mark")).to_numpy()
+            free = np.array([m not in taken for m in mark.tolist()], bool)
+            with np.errstate(over="ignore"):
+                order = (mark.astype(np.uint64) + np.uint64(turn + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                order = (order ^ (order >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1)
+            for v, view in enumerate(arrays(b) if b.num_rows else ()):
+                p = 1 / (1 + np.exp(-logits((view - model["scale"][v][0]) / model["scale"][v][1], model["w"][v])))
+                for kind, sure in enumerate((1 - p, p)):
+                    at = np.flatnonzero((sure >= SURE) & free)
+                    at = at[np.argsort(order[at], kind="stable")[:HANDED]]
+                    found = {o: r for o, r in best[2 * v + kind]}
+                    found.update((int(order[i]), b.slice(int(i), 1).to_pylist()[0]) for i in at)
+                    best[2 * v + kind] = sorted(found.items())[:HANDED]
+        rows = [{"slot": k, "rank": o, **{c: r[c] for c in ("mark", "x", "source", "lang", "n_chars")}} for k, own in best.items() for o, r in own]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("slot", pa.int32()), ("rank", pa.int64()), ("mark", pa.int64()), ("x", pa.binary()), ("source", pa.string()), ("lang", pa.string()), ("n_chars", pa.float64())]))
+
+    found = held.mapInArrow(run, "slot int, rank bigint, mark bigint, x binary, source string, lang string, n_chars double").dropDuplicates(["slot", "mark"])
+    first = Window.partitionBy("slot").orderBy("rank", "mark")
+    return sorted(found.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= HANDED).collect(), key=lambda r: (r.slot, r["rank"], r["mark"]))
 
 
 def logistic(x, y, weight=None, ridge: float = 1.0, steps: int = 25):
@@ -127,85 +193,87 @@ def logits(x, w):
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
-def cotrain(rows: list) -> dict | None:
-    """The two views, their calibrations and the combination; null without both kinds of labels."""
+def cotrain(held: DataFrame, labels: DataFrame, label_id: str, label: str, most: int = MAX_LABELLED) -> dict | None:
+    """The two views, their calibrations and the combination; null without both kinds of labels. held: featured rows, cut."""
     import numpy as np
 
-    rows = sorted(rows, key=lambda r: (r.id, r.y is None, r.x))
-    held = {r.id for r in rows if r.y is not None}
-    rows = [r for r in rows if r.y is not None or r.id not in held]
-    if len({r.y for r in rows if r.y is not None}) < 2:
+    rows = labelled_rows(held, labels, label_id, label, most)
+    if len({r["_y"] for r in rows}) < 2:
         return None
-    view = [np.array([np.frombuffer(getattr(r, c), np.float32) for r in rows], float) for c in "xm"]
-    y = np.array([-1 if r.y is None else r.y for r in rows])
-    scale = [(v.mean(0), v.std(0) + 1e-3) for v in view]
-    view = [(v - m) / s for v, (m, s) in zip(view, scale, strict=True)]
-    at = np.flatnonzero(y >= 0)
-    turn = np.arange(len(at)) % 4 == 3
-    if len(at) < 40 or len(set(y[at[turn]])) < 2 or len(set(y[at[~turn]])) < 2:
+    scale = scales(held)
+
+    def both(rows: list) -> list:
+        x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], float)
+        m = np.array([metadata_features(r["source"], r["lang"], r["n_chars"]) for r in rows], float)
+        return [(v - mean) / dev for v, (mean, dev) in zip((x, m), scale, strict=True)]
+
+    view, y = both(rows), np.array([r["_y"] for r in rows])
+    turn = np.arange(len(rows)) % 4 == 3
+    if len(rows) < 40 or len(set(y[turn])) < 2 or len(set(y[~turn])) < 2:
         turn[:] = True  # too few to set some aside
-    train, judge, pool = (at[~turn] if not turn.all() else at), at[turn], np.flatnonzero(y < 0)
-    own = [[(train, y[train].astype(float))] for _ in view]
-    left = [np.ones(len(pool), bool) for _ in view]
-    w = [None, None]
+    train = np.flatnonzero(~turn) if not turn.all() else np.arange(len(rows))
+    own = [[(v[train], y[train].astype(float))] for v in view]
+    model = {"scale": scale, "w": [None, None]}
+    taken = {r["mark"] for r in rows}
+    given: list[set] = [set(), set()]
     for turn_no in range(ROUNDS + 1):
         for v in (0, 1):
-            i, t = (np.concatenate(c) for c in zip(*own[v], strict=True))
-            w[v] = logistic(view[v][i], t)
-        if turn_no == ROUNDS or not len(pool):
+            model["w"][v] = logistic(*(np.concatenate(c) for c in zip(*own[v], strict=True)))
+        if turn_no == ROUNDS:
             break
+        new = handed(held, model, taken, turn_no)
         for v in (0, 1):  # v teaches the other view
-            p = 1 / (1 + np.exp(-logits(view[v][pool], w[v])))
-            for target, sure in ((1.0, p), (0.0, 1 - p)):
-                order = np.argsort(-sure, kind="stable")[: max(1, int(HANDED * len(pool)))]
-                order = order[(sure[order] >= SURE) & left[1 - v][order]]
-                left[1 - v][order] = False
-                own[1 - v].append((pool[order], np.full(len(order), target)))
-    z = [logits(view[v][judge], w[v]) for v in (0, 1)]
-    slope = [logistic(q[:, None], y[judge], ridge=0.1) for q in z]
-    both = np.column_stack([logits(q[:, None], s) for q, s in zip(z, slope, strict=True)])
-    return {"scale": scale, "w": w, "slope": slope, "mix": logistic(both, y[judge], ridge=0.1)}
-
-
-def views(model: dict | None, texts: list, metas: list) -> list:
+            mine = [r for r in new if r.slot // 2 == v and r["mark"] not in given[1 - v]]
+            if mine:
+                given[1 - v].update(r["mark"] for r in mine)
+                own[1 - v].append((both(mine)[1 - v], np.array([r.slot % 2 for r in mine], float)))
+    z = [logits(view[v][turn], model["w"][v]) for v in (0, 1)]
+    slope = [logistic(q[:, None], y[turn], ridge=0.1) for q in z]
+    calibrated = np.column_stack([logits(q[:, None], s) for q, s in zip(z, slope, strict=True)])
+    return model | {"slope": slope, "mix": logistic(calibrated, y[turn], ridge=0.1)}
+
+
+def judged(model: dict | None, both: list) -> list:
     """Calibrated probabilities of being good by text and by metadata, and the combined one."""
     import numpy as np
 
-    if model is None or not texts:
-        return [np.ones(len(texts))] * 3
-    x = np.array([text_features(t) for t in texts], float)
-    m = np.array([metadata_features(*r) for r in metas], float)
-    z = [logits(logits((v - mean) / dev, w)[:, None], s) for v, (mean, dev), w, s in zip((x, m), model["scale"], model["w"], model["slope"], strict=True)]
+    if model is None or not len(both[0]):
+        return [np.ones(len(both[0]))] * 3
+    z = [logits(logits((v - mean) / dev, w)[:, None], s) for v, (mean, dev), w, s in zip(both, model["scale"], model["w"], model["slope"], strict=True)]
     return [1 / (1 + np.exp(-q)) for q in (*z, logits(np.column_stack(z), model["mix"]))]
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality", most: int = MAX_LABELLED) -> DataFrame:
     """One row per input row: doc_id, p_text, p_metadata, score and accepted."""
-    rows = columns(docs, id_col, text_col)
-    model = cotrain(sample(rows, labels, label_id, label))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    held = cut(featured(columns(docs, id_col, text_col)), "features")
+    model = cotrain(held, labels, label_id, label, most)
+    kind = held.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            p = views(model, b.column(1).to_pylist(), list(zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, p), pa.array(p[2] >= ACCEPT)], names=["doc_id", "p_text", "p_metadata", "score", "accepted"])
+            p = judged(model, arrays(b)) if b.num_rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.float64()) for x in p), pa.array([x >= ACCEPT for x in p[2]], pa.bool_())], names=["doc_id", "p_text", "p_metadata", "score", "accepted"])
 
-    return rows.mapInArrow(lean(run), f"doc_id {kind}, p_text double, p_metadata double, score double, accepted boolean")
+    return held.mapInArrow(lean(run), f"doc_id {kind}, p_text double, p_metadata double, score double, accepted boolean")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text", most: int = MAX_LABELLED) -> DataFrame:
     """The rows of docs that the classifier accepts, with all their columns."""
-    model = cotrain(sample(columns(docs, "doc_id", text_col), labels, "doc_id", "quality"))
+    held = cut(featured(columns(docs, "doc_id", text_col)), "features")
+    model = cotrain(held, labels, "doc_id", "quality", most)
+    discard(held)
     at = [docs.columns.index(c) if c in docs.columns else -1 for c in (text_col, "source", "lang", "n_chars")]
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         for b in batches:
             texts, *metas = (b.column(i).to_pylist() if i >= 0 else [None] * b.num_rows for i in at)
-            yield b.filter(pa.array(views(model, texts, list(zip(*metas, strict=True)))[2] >= ACCEPT))
+            x = np.array([text_features(t) for t in texts], float)
+            yield b.filter(pa.array(judged(model, [x, np.array([metadata_features(*r) for r in zip(*metas, strict=True)], float)])[2] >= ACCEPT))
 
     return docs.mapInArrow(lean(run), docs.schema)
 
