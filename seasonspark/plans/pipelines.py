@@ -310,6 +310,13 @@ def cca_hindcast(spark, d):
     return r(cca.cross_validated(h, o, 2, 2, 1).withColumn("prediction", F.round("prediction", 3)).withColumn("leverage", F.round("leverage", 3)))
 
 
+@query()
+def cca_best_modes(spark, d):
+    """Numbers of modes by the mean of Kendall's tau."""
+    h, o = grid_models(spark, d)
+    return cca.best_modes(h, o, (1, 2), (1, 2), (1, 2)).withColumn("goodness", F.round("goodness", 4))
+
+
 @query()
 def cca_leverages(spark, d):
     h, o = grid_models(spark, d)

@@ -226,3 +226,28 @@ def test_time_axis(spark):
         cal.season_times("JJA", 2000, "weekly")
     one = spark.range(1).select(cal.issuance_days(F.lit("2024-01-01").cast("date"), F.lit("2024-01-09").cast("date")).alias("d")).first().d
     assert [x.day for x in one] == [1, 4, 8]
+
+
+def test_canonical_correlation_by_products_of_years(spark):
+    """Against fits on whole matrices, one for each fold and number of modes."""
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(12, 1))
+    x, y = z @ rng.normal(size=(1, 15)) + 0.5 * rng.normal(size=(12, 15)), z @ rng.normal(size=(1, 8)) + 0.5 * rng.normal(size=(12, 8))
+    x[4, 2] = y[7, 3] = np.nan
+    cells = [[(float(i // w), float(i % w)) for i in range(n)] for n, w in ((15, 3), (8, 2))]
+    kind = "model int, year int, lat double, lon double, value double"
+    px, py = (spark.createDataFrame([(1, 2000 + t, *c, None if np.isnan(f[t, i]) else float(f[t, i])) for t in range(12) for i, c in enumerate(cs)], kind) for f, cs in ((x, cells[0]), (y, cells[1])))
+    got = {(r.year - 2000, r.lat, r.lon): (r.prediction, r.leverage) for r in cca.cross_validated(px, py, 3, 3, 1, 1).collect()}
+    wx, wy = (cca.latitude_weights(np.unique([c[0] for c in cs]))[[int(c[0]) for c in cs]] for cs in cells)
+    for t in range(12):
+        train = [j for j in range(12) if abs(j - t) > 1]
+        f = cca.fit(x[train], y[train], wx, wy, 3, 3, 1)
+        want = f.predict(x[t])
+        assert [got[t, *c][0] for c in cells[1]] == pytest.approx(list(want), rel=1e-6, abs=1e-8)
+        assert got[t, *cells[1][0]][1] == pytest.approx(f.leverage(x[t]), rel=1e-6)
+    best = cca.best_modes(px, py, (1, 2), (1, 2), (1, 2)).collect()
+    assert len(best) == 5 and sum(r.best for r in best) == 1
+    for r in best:
+        p = np.array([cca.fit(x[tr := [j for j in range(12) if j != t]], y[tr], wx, wy, r.x, r.y, r.modes).predict(x[t]) for t in range(12)]).T
+        assert r.goodness == pytest.approx(np.nanmean(cca.tau_b(p, y.T)), abs=1e-9)
+    assert cca.tau_b(np.array([[1, 2, 3, 4.0]]), np.array([[1, 2, 3, 3.0]]))[0] == pytest.approx(5 / math.sqrt(6 * 5))
