@@ -241,3 +241,35 @@ def gamma_to_normal(x: Column, shape: Column, scale: Column) -> Column:
 
 def normal_to_gamma(z: Column, shape: Column, scale: Column) -> Column:
     return gamma_ppf(inner(normal_cdf(z)), shape, scale)
+
+
+def finite(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with a finite value; ValueError if there are none."""
+    v = F.col("value")
+    out = rows.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    if not out.limit(1).count():
+        raise ValueError(f"{name} has no finite value")
+    return out
+
+
+#: Values of a series, at most, that an empirical map holds.
+MOST_VALUES = 100_000
+
+
+def map_series(rows: DataFrame, source: DataFrame, target: DataFrame, how: str = "parametric", linear: bool = False) -> DataFrame:
+    """rows with each value carried from one series' distribution to another's: by mean and deviation (ddof 1), or by quantiles."""
+    source, target = finite(source, "source"), finite(target, "target")
+    if how == "parametric":
+        m = [t.agg(F.avg("value").alias(f"_{n}m"), F.stddev_samp("value").alias(f"_{n}s")) for n, t in (("s", source), ("t", target))]  # a row each
+        j = rows.crossJoin(F.broadcast(m[0])).crossJoin(F.broadcast(m[1]))
+        s = F.when(F.col("_ss") < 1e-12, 1.0).otherwise(F.col("_ss"))
+        return j.withColumn("value", F.col("_tm") + (F.col("value") - F.col("_sm")) / s * F.col("_ts")).drop("_sm", "_ss", "_tm", "_ts")
+    if how != "empirical":
+        raise ValueError(f"unknown variant {how!r}")
+    held = []
+    for t in (source, target):
+        values = [r.value for r in t.select("value").limit(MOST_VALUES + 1).collect()]
+        if len(values) > MOST_VALUES:
+            raise ValueError(f"a series of more than {MOST_VALUES} values")
+        held.append(F.lit(sorted(map(float, values))))
+    return rows.withColumn("value", empirical_map(F.col("value"), *held, linear))

@@ -162,3 +162,18 @@ def class_codes(rows: DataFrame, bins: list[float], secondary: float | None = No
         none = none | (rival >= secondary)
     step = sum(F.when(lead >= x, 1).otherwise(0) for x in bins[1:]) if n > 1 else F.lit(0)
     return rows.withColumn("code", F.when(none, -1).otherwise(first + step))
+
+
+def transformed_boundaries(obs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, lo and hi: the terciles of a normal distribution, for groups with data."""
+    from statistics import NormalDist
+
+    lo, hi = (NormalDist().inv_cdf(k / 3) for k in (1, 2))
+    return obs.where("value IS NOT NULL").select(*keys).distinct().select(*keys, F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+
+
+def as_probability(rows: DataFrame, columns=("p_below", "p_normal", "p_above")) -> DataFrame:
+    """The columns marked as probabilities in their metadata."""
+    for c in columns:
+        rows = rows.withMetadata(c, {"units": "1", "long_name": "probability"})
+    return rows

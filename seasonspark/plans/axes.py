@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from seasonspark.functions import calendar as cal
-from seasonspark.operators import alignment, analogs, climate, completion, diagrams, leads, regrid
-from seasonspark.plans.catalog import BOUNDED, BOX, FIELD, FIRST, LAST, PAIRS, PLACES, bounded, pairs, query, r, rnd
+from seasonspark.operators import alignment, analogs, climate, completion, diagrams, indices, leads, methods, regrid, terciles, timing
+from seasonspark.plans.catalog import BOUNDED, BOX, FIELD, FIRST, LAST, ONSET, PAIRS, PLACES, SEASON, bounded, pairs, query, r, rnd, season
 from seasonspark.plans.forecasts import MODELS, models
-from seasonspark.sources import cubes, issuance, products
+from seasonspark.sources import cubes, issuance, products, verification
 from seasonspark.sources.cubes import GRID, HIND, OBS, WET, rain_sql
 
 DEKAD = "make_date(year({0}), month({0}), CASE WHEN day({0}) <= 10 THEN 1 WHEN day({0}) <= 20 THEN 11 ELSE 21 END)"
@@ -399,3 +401,123 @@ def grid_subset(spark, d):
 @query(f"WITH {PAIRS} SELECT cell, year, row_number() OVER (PARTITION BY cell ORDER BY fc, year)::INT - 1 AS rank FROM pairs")
 def skill_ranks(spark, d):
     return analogs.ordinal_rank(pairs(spark, d), ["cell"], "fc", "year").select("cell", "year", "rank")
+
+
+WORLD = f"{OBS}, wf AS (SELECT year, (cell % 9) * 10 - 40.0::DOUBLE AS lat, (cell // 9 * 37 % 36) * 10 + 5.0::DOUBLE AS lon, value FROM obs)"
+
+
+def world(spark, d):
+    """Cells dealt over the globe: year, lat, lon, value."""
+    c = F.col("cell")
+    return cubes.observations(spark, d).select("year", ((c % 9) * 10 - 40.0).alias("lat"), (F.floor(c / 9) * 37 % 36 * 10 + 5.0).alias("lon"), "value")
+
+
+def box_sql(name: str, west: float, east: float, south: float, north: float, w: str = "1") -> str:
+    return f"{name} AS (SELECT year, sum(value * {w}) / sum({w}) AS v FROM wf WHERE lat BETWEEN {south} AND {north} AND lon BETWEEN {west} AND {east} GROUP BY 1)"
+
+
+COSINE = "greatest(cos(radians(lat)), 0)"
+
+
+@query(f"WITH {WORLD}, {box_sql('a', 0, 180, -30, 30, COSINE)}, {box_sql('b', 180, 360, -30, 30, COSINE)} SELECT year, {rnd('(a.v - avg(a.v) OVER ()) - (b.v - avg(b.v) OVER ())')} AS value FROM a JOIN b USING (year)")
+def index_dipole(spark, d):
+    """The difference of two boxes' anomalies, weighed by latitude."""
+    own = indices.named("dmi", boxes={"wtio": (-30, 30, 0, 180), "setio": (-30, 30, 180, 359.9)})
+    return r(indices.reduce(world(spark, d), own))
+
+
+@query(f"WITH {WORLD}, {box_sql('a', 0, 360, -20, 20)} SELECT year, {rnd('(v - (SELECT avg(v) FROM a WHERE year BETWEEN 1996 AND 1999)) / (SELECT stddev_pop(v) FROM a WHERE year BETWEEN 1996 AND 1999)')} AS value FROM a")
+def index_baseline(spark, d):
+    """Standard scores by a baseline of four years."""
+    own = indices.named("nino34", boxes={"nino34": indices.box_of("tropics")}, baseline=(1996, 1999))
+    return r(indices.reduce(world(spark, d), own))
+
+
+TRIANGLE = [[(-1.0, -1.0), (5.0, -1.0), (-1.0, 12.5)], [(0.5, 0.5), (1.5, 0.5), (1.5, 1.5), (0.5, 1.5)]]
+IN_TRIANGLE = "lat > -1 AND lon > -1 AND lon < 5 - 6 * (lat + 1) / 13.5 AND NOT (lat BETWEEN 0.5 AND 1.5 AND lon BETWEEN 0.5 AND 1.5)"
+
+
+@query(f"WITH {GRID} SELECT year, lat, lon, CASE WHEN {IN_TRIANGLE} THEN {rnd('value')} END AS value FROM grid")
+def geometry_mask(spark, d):
+    """A triangle with a hole."""
+    return r(indices.geometry_mask(cubes.on_grid(cubes.observations(spark, d)), TRIANGLE)).select("year", "lat", "lon", "value")
+
+
+@query(f"WITH {GRID} SELECT year, lat, lon, {rnd('value')} AS value FROM grid WHERE {IN_TRIANGLE}")
+def geometry_clip(spark, d):
+    return r(indices.geometry_clip(cubes.on_grid(cubes.observations(spark, d)), TRIANGLE)).select("year", "lat", "lon", "value")
+
+
+@query(f"WITH {GRID}, h AS (SELECT lat, lon + year / 10000 AS lon, value FROM grid) SELECT floor(lat / 2) * 2 + 0.5::DOUBLE AS lat, floor(lon / 2) * 2 + 1 AS lon, {rnd('avg(value)')} AS elevation, {rnd('stddev_pop(value)')} AS roughness FROM (SELECT lat, floor(lon) AS lon, value FROM h) WHERE lat < (SELECT floor(max(lat) / 2) * 2 + 2 FROM h) AND lon < 4 GROUP BY 1, 2")
+def terrain_cells(spark, d):
+    """Means and roughness of blocks of two by two."""
+    g = cubes.on_grid(cubes.observations(spark, d))
+    heights = g.select("lat", (F.col("lon") + F.col("year") / 10000).alias("lon"), "value")
+    top = int(g.agg(F.max("lat")).first()[0])
+    lat = spark.createDataFrame([(k + 0.5, float(k - 0.5), float(k + 1.5)) for k in range(0, top + 1, 2)], "lat double, low double, high double")
+    lon = spark.createDataFrame([(k + 1.0, float(k), float(k + 2)) for k in (0, 2)], "lon double, low double, high double")
+    return r(indices.terrain(heights, lat, lon))
+
+
+DEKADS = f"{WET}, dk AS (SELECT cell, CAST({DEKAD.format('d')} AS DATE) AS d, sum(value) AS value FROM wet GROUP BY 1, 2)"
+
+
+def dekads(spark, d):
+    return cubes.daily_rain(spark, d).groupBy("cell", cal.dekad_start(F.col("d")).alias("d")).agg(F.sum("value").alias("value"))
+
+
+@query(f"WITH {DEKADS} SELECT cell, year(d)::INT AS year, {rnd('value')} AS value FROM dk WHERE dayofyear(d) = dayofyear(DATE '1999-05-11') AND year(d) BETWEEN 1995 AND 1998")
+def dekad_climatology(spark, d):
+    return r(verification.dekad_climatology(dekads(spark, d), F.lit("1999-05-11").cast("date"), 1995, 1998))
+
+
+@query(f"WITH {rain_sql('1997-03-01', '1997-03-31')}, g AS (SELECT * FROM rain WHERE NOT (cell % 2 = 0 AND d = DATE '1997-03-15')) SELECT cell, {rnd('avg(value)')} AS value FROM g WHERE d BETWEEN DATE '1997-03-11' AND DATE '1997-03-20' GROUP BY 1 HAVING count(DISTINCT d) = 10")
+def live_dekad(spark, d):
+    """Every second cell lacks a day."""
+    rain = cubes.spined(cubes.daily_rain(spark, d), "1997-03-01", "1997-03-31")
+    return r(verification.live_dekad(rain.where("NOT (cell % 2 = 0 AND d = DATE '1997-03-15')"), F.lit("1997-03-11").cast("date")))
+
+
+@query(f"WITH {DEKADS} SELECT cell, d, {rnd('CASE WHEN month(d) <= 6 THEN value ELSE 2 * value END')} AS value, CASE WHEN month(d) <= 6 THEN 'final' ELSE 'live' END AS origin FROM dk WHERE month(d) <= 9")
+def obs_with_fallback(spark, d):
+    """Final to June, live to September."""
+    k = dekads(spark, d)
+    live = k.where("month(d) <= 9").withColumn("value", 2 * F.col("value"))
+    return r(verification.obs_with_fallback(k, k.where("month(d) <= 6"), live))
+
+
+@query(f"WITH {WET} SELECT cell, year(d)::INT AS year, {rnd('avg(value)')} AS value FROM wet WHERE month(d) IN (10, 11, 12) AND year(d) BETWEEN 1996 AND 1999 GROUP BY 1, 2")
+def obs_seasons(spark, d):
+    return r(verification.obs_seasons(cubes.daily_rain(spark, d), cal.season_months("OND"), 1996, 1999))
+
+
+@query("SELECT l_suppkey AS cell, year(l_shipdate)::INT AS year, l_linenumber AS member, round(avg(l_quantity), 6) + 0.0 AS value FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 1999 GROUP BY 1, 2, 3")
+def model_seasons(spark, d):
+    t = cubes.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("cell"), F.to_date("l_shipdate").alias("d"), F.col("l_linenumber").alias("member"), F.col("l_quantity").alias("value"))
+    return r(verification.model_seasons(t, 1996, 1999))
+
+
+@query(f"WITH {ONSET} SELECT cell, year, onset::INT AS onset, CAST(make_date(year::INT, 10, 1) + onset * INTERVAL 1 DAY AS DATE) AS date FROM onsets")
+def onset_dates(spark, d):
+    return verification.event_dates(timing.onset(season(spark, d)), F.make_date("year", F.lit(10), F.lit(1)), "onset")
+
+
+@query(f"WITH {SEASON} SELECT DISTINCT year::INT AS year, date_diff('day', make_date(year::INT, 10, 1), make_date(year::INT, 12, 31))::INT + 1 AS width FROM season")
+def season_widths(spark, d):
+    return verification.season_widths(season(spark, d), F.make_date("year", F.lit(10), F.lit(1)), F.make_date("year", F.lit(12), F.lit(31)))
+
+
+@query(f"WITH {OBS}, k AS (SELECT cell, bool_or(value IS NOT NULL) AS has FROM obs GROUP BY 1) SELECT cell, {rnd(repr(NormalDist().inv_cdf(1 / 3)) + '::DOUBLE')} AS lo, {rnd(repr(NormalDist().inv_cdf(2 / 3)) + '::DOUBLE')} AS hi FROM k WHERE has")
+def transformed_boundaries(spark, d):
+    """Terciles of normal scores, of cells with data."""
+    return r(terciles.transformed_boundaries(cubes.observations(spark, d), ["cell"]))
+
+
+SERIES = f"{OBS}, src AS (SELECT value FROM obs WHERE cell % 2 = 0), tgt AS (SELECT value FROM obs WHERE cell % 2 = 1)"
+
+
+@query(f"WITH {SERIES}, s AS (SELECT avg(value) AS m, stddev_samp(value) AS s FROM src), t AS (SELECT avg(value) AS m, stddev_samp(value) AS s FROM tgt) SELECT year, cell, {rnd('t.m + (value - s.m) / s.s * t.s')} AS value FROM obs, s, t WHERE cell % 2 = 0")
+def series_quantile_map(spark, d):
+    """One series onto another, by their moments."""
+    o = cubes.observations(spark, d)
+    return r(methods.map_series(o.where("cell % 2 = 0"), o.where("cell % 2 = 0"), o.where("cell % 2 = 1"))).select("year", "cell", "value")

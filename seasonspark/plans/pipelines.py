@@ -218,7 +218,7 @@ def log_sum_exp(spark, d):
 
 # Twelve seasons of three models: the months of ship dates.
 SEASON_MEMBERS = """sx AS (SELECT l_suppkey AS cell, (month(l_shipdate) - 1)::INT AS season, year(l_shipdate) AS year, (l_linenumber % 3)::INT AS model, l_linenumber AS member, avg(l_quantity) AS value FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 2000 GROUP BY 1, 2, 3, 4, 5),
-sy AS (SELECT l_suppkey AS cell, (month(l_shipdate) - 1)::INT AS season, year(l_shipdate) AS year, avg(l_extendedprice / 1000) AS value FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 2000 GROUP BY 1, 2, 3)"""
+sy AS (SELECT l_suppkey AS cell, (month(l_shipdate) - 1)::INT AS season, year(l_shipdate) AS year, avg(l_quantity * (l_linenumber % 4 + 1)) AS value FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 2000 GROUP BY 1, 2, 3)"""
 
 
 def season_models(spark, d):
@@ -226,7 +226,7 @@ def season_models(spark, d):
     t = cubes.table(spark, d, "lineitem").where(F.year("l_shipdate").between(1996, 2000))
     keys = [F.col("l_suppkey").alias("cell"), (F.month("l_shipdate") - 1).alias("season"), F.year("l_shipdate").alias("year")]
     x = t.groupBy(*keys, (F.col("l_linenumber") % 3).cast("int").alias("model"), F.col("l_linenumber").alias("member")).agg(F.avg("l_quantity").alias("value"))
-    return x, t.groupBy(*keys).agg(F.avg(F.col("l_extendedprice") / 1000).alias("value"))
+    return x, t.groupBy(*keys).agg(F.avg(F.col("l_quantity") * (F.col("l_linenumber") % 4 + 1)).alias("value"))
 
 
 CCC = f"""{SEASON_MEMBERS}, sz AS (SELECT count(DISTINCT year) AS t, count(DISTINCT model) AS m, count(DISTINCT (model, member)) AS n FROM sx),

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from seasonspark.functions import calendar as cal
 from seasonspark.functions import special
-from seasonspark.operators import alignment, analogs, calibrate, cca, cccma, diagrams, leads, metrics, seasonal_mme, validation
-from seasonspark.sources import products
+from seasonspark import tools
+from seasonspark.operators import alignment, analogs, calibrate, cca, cccma, diagrams, indices, leads, metrics, seasonal_mme, validation
+from seasonspark.sources import products, verification
 
 
 def test_inverse_gamma_undoes_the_distribution():
@@ -251,3 +252,51 @@ def test_canonical_correlation_by_products_of_years(spark):
         p = np.array([cca.fit(x[tr := [j for j in range(12) if j != t]], y[tr], wx, wy, r.x, r.y, r.modes).predict(x[t]) for t in range(12)]).T
         assert r.goodness == pytest.approx(np.nanmean(cca.tau_b(p, y.T)), abs=1e-9)
     assert cca.tau_b(np.array([[1, 2, 3, 4.0]]), np.array([[1, 2, 3, 3.0]]))[0] == pytest.approx(5 / math.sqrt(6 * 5))
+
+
+def test_indices_and_geometry(spark):
+    assert len(indices.listing()) == 16 and indices.named("IOD").boxes == ("wtio", "setio") and indices.box_of({"south": 1, "north": 2, "west": 3, "east": 4}) == (1, 2, 3, 4)
+    for bad in (lambda: indices.named("no such"), lambda: indices.box_of("nowhere")):
+        with pytest.raises(KeyError):
+            bad()
+    rng = np.random.default_rng(9)
+    rows = [(y, float(lat), float(lon), float(rng.normal())) for y in range(5) for lat in range(-40, 41, 5) for lon in range(0, 360, 10)]
+    field = spark.createDataFrame(rows, "year int, lat double, lon double, value double")
+    for name in indices.NAMED:
+        got = {r.year: r.value for r in indices.reduce(field, indices.named(name)).collect()}
+        index, parts = indices.NAMED[name], {}
+        for box in index.boxes:
+            s, n, w, e = indices.BOXES[box]
+            v = []
+            for y in range(5):
+                own = [(x, math.cos(math.radians(lat)) if index.weighted else 1) for t, lat, lon, x in rows if t == y and s <= lat <= n and (w <= lon <= e or (w, e) == (0, 360))]
+                v.append(sum(x * c for x, c in own) / sum(c for _, c in own))
+            v = np.array(v)
+            parts[box] = v if index.how == "raw" else v - v.mean() if index.how == "anomaly" else (v - v.mean()) / v.std()
+        assert [got[y] for y in range(5)] == pytest.approx(list(index.combine(parts))), name
+
+
+def test_tools_and_verification(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    h = [(m, c, y, e, float(rng.normal())) for m in ("a", "b") for c in range(3) for y in range(2000, 2009) for e in range(3)]
+    paths = {n: str(tmp_path / n) for n in ("h", "o", "f", "out")}
+    hind = spark.createDataFrame(h, "model string, cell int, year int, member int, value double")
+    hind.where("year < 2008").write.parquet(paths["h"])
+    hind.where("year = 2008").drop("year").write.parquet(paths["f"])
+    hind.where("model = 'a' AND member = 0 AND year < 2008").select("cell", "year", "value").write.parquet(paths["o"])
+    made = tools.calibrate(spark, paths["o"], paths["h"], paths["out"], paths["f"])
+    assert made == tools.calibrate(spark, paths["o"], paths["h"], paths["out"], paths["f"]) and spark.read.parquet(made["path"]).count() == 3
+    assert spark.read.parquet(tools.calibrate(spark, paths["o"], paths["h"], paths["out"], cv=True)["path"]).count() == 24
+    assert tools.optimize(spark, paths["h"], paths["o"], paths["out"])["best"] == "regression"
+    assert "cell" in {r["name"] for r in tools.describe_dataset(spark, paths["o"]).collect()} and "ereg" in tools.list_registry()["calibrator"]
+    flat = str(tmp_path / "flat")
+    hind.groupBy("model", "cell", "year").agg(F.avg("value").alias("value")).write.parquet(flat)
+    for strategy in ("uniform", "drop_worst", "skill_weighted"):
+        assert spark.read.parquet(tools.ensemble(spark, flat, paths["out"], strategy, paths["o"])["path"]).count() >= 24
+    members = str(tmp_path / "members")
+    hind.where("model = 'a'").drop("model").write.parquet(members)
+    assert spark.read.parquet(tools.to_tercile(spark, members, paths["o"], paths["out"])["path"]).count() == 27
+    one = spark.createDataFrame([("x", 1)], "cell string, year int")
+    with pytest.raises(RuntimeError):
+        verification.common_or_raw(one, one.withColumn("year", F.lit(2)))
+    assert verification.common_or_raw(None, one) is None
