@@ -335,6 +335,38 @@ def test_quality(spark, docs):
     assert quality.quality_scores(empty(df), labels).count() == 0
 
 
+def test_quality_exchange_covers_all_documents(spark):
+    """Few labels, on one source only: the words of the others are learned from documents without a label."""
+    rnd = random.Random(15)
+    rows = [(i, " ".join(rnd.choice(["fine", "words", "here", "calm"] if i % 2 else ["BUY", "!!!", "$$$", "NOW!"]) for _ in range(30)), f"s{i % 2}", "en", 150, "x") for i in range(600)]
+    rows += [(600, LONG, "s1", "en", len(LONG), "x"), (601, "", None, None, None, "x"), (None, None, None, None, None, "x"), rows[3], rows[3]]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string, lang string, n_chars int, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(30, 1), (30, 0), (None, 1), (31, 7)], "doc_id int, quality int")
+    got = quality.quality_scores(df, labels).collect()
+    assert len(got) == len(rows) and all(r.accepted == (r.doc_id % 2 == 1) for r in got if r.doc_id is not None and r.doc_id < 600)
+    held = quality.featured(quality.columns(df, "doc_id", "text")).cache()
+    model = {"scale": quality.scales(held), "w": [None, None]}
+    import numpy as np
+
+    x = np.array([quality.text_features(r[1]) for r in rows], float)
+    assert model["scale"][0][0] == pytest.approx(x.mean(0)) and model["scale"][0][1] == pytest.approx(x.std(0) + 1e-3, abs=1e-6)
+    one = np.zeros(x.shape[1] + 1)
+    one[-1] = 9  # sure of everything
+    model["w"] = [one, np.append(np.zeros(2 * quality.BUCKETS + 2), -9)]
+    new = quality.handed(held, model, set(), 0)
+    assert {(s, len([r for r in new if r.slot == s])) for s in {r.slot for r in new}} == {(1, quality.HANDED), (2, quality.HANDED)}
+    assert quality.quality_scores(empty(df), labels).count() == 0 == quality.accepted(empty(df), labels).count()
+
+
+def test_language_with_odd_rows(spark):
+    rows = [(i, ("der und schön " if i % 2 else "the and thing ") * (2_000 if i > 195 else 3), "yy" if i % 2 else "xx", "x") for i in range(200)]
+    rows += [rows[7], rows[7], (None, "der und", "yy", "x"), (300, "", "xx", "x"), (301, "the", None, "x")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, score string")
+    got = language.detect_language(df, F.coalesce(df.doc_id % 4 == 2, F.lit(False))).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == ("yy" if r.doc_id % 2 else "xx") for r in got if r.doc_id is not None and r.doc_id < 200)
+    assert {r.lang_pred for r in got if r.doc_id == 300} == {"und"} and {r.lang_pred for r in got if r.doc_id is None} == {"yy"}
+
+
 def test_url_filter(spark):
     urls = ["http://a.Example.COM/en/7x?q#f", "https://b.example.net/de/81", "https://b.example.net/de/7", "x.org/es/1", None, "ftp://bad.host.io", "https://w.org/es/#/", "http://com/en/"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(100 + i, "http://bad.host.io/p") for i in range(60)], "page_id int, url string")
@@ -418,15 +450,79 @@ def test_html_leaves_out_fixed_text_in_the_article(spark):
     assert got[90].endswith("A standing line")  # one page does not tell
 
 
-def test_pipeline(spark):
+def near_groups(rows, k):
+    """Brute force: of each row its component's smallest id."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set()))
+    up = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            n, m = len(sets[a]), len(sets[b])
+            if n and m and 100 * min(n, m) >= 80 * max(n, m):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 80 * (n + m - both):
+                    up[near_dedup.find(up, a)] = near_dedup.find(up, b)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        r = near_dedup.find(up, i)
+        low[r] = min(low.get(r, d), d)
+    return [low[near_dedup.find(up, i)] for i in range(len(rows))]
+
+
+def test_pipeline_stages_against_brute_force(spark):
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
+    stages, at = dict(corpus_pipeline.STAGES), []
+    for name in list(stages)[:-1]:
+        out = stages[name](spark, docs, sf)
         assert out.columns == docs.columns, name
-        ids = {r.doc_id for r in docs.select("doc_id").collect()}
-        docs = spark.createDataFrame(out.collect(), docs.schema)
-        assert {r.doc_id for r in docs.select("doc_id").collect()} <= ids
-    assert corpus_pipeline.run(spark, sf).count() == docs.count()
+        rows = out.collect()
+        at.append(rows)
+        docs = spark.createDataFrame(rows, docs.schema)
+    quality_rows, exact_rows, near_rows, mixed_rows = at
+    scores = quality.quality_scores(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    assert {r.doc_id for r in quality_rows} == {r.doc_id for r in scores if r.accepted}
+    best = {}
+    for r in quality_rows:
+        key = re.sub(WS, "", r.text or "")
+        best[key] = min(best.get(key, (1, 0)), (-len(r.text or ""), r.doc_id))
+    assert sorted(r.doc_id for r in exact_rows) == sorted(i for _, i in best.values())
+    ids = [(r.doc_id, r.text) for r in exact_rows]
+    assert sorted(r.doc_id for r in near_rows) == sorted(i for (i, _), low in zip(ids, near_groups(ids, 5), strict=True) if i == low)
+    size, got = {}, {}
+    for r in near_rows:
+        size[r.source] = size.get(r.source, 0) + len((r.text or "").split())
+    for r in mixed_rows:
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    names = sorted(size, key=lambda x: (x is None, x or ""))
+    want = dict(zip(names, mixing.targets([size[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5), strict=True))
+    assert all(abs(got.get(n, 0) - want[n]) <= 1 for n in names)
+    lib = Tokenizer.from_file(bpe.vocabulary_path())
+    encoded = stages["bpe encoding"](spark, docs, sf).collect()
+    by_text = sorted((r.doc_id, lib.encode(r.text, add_special_tokens=False).ids) for r in mixed_rows)
+    assert sorted((r.doc_id, list(r.ids)) for r in encoded) == by_text
+    assert corpus_pipeline.run(spark, sf).count() == len(encoded)
+
+
+def test_pipeline_with_odd_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    whole = spark.read.parquet(f"{sf}/documents.parquet")
+    some = whole.limit(3).collect()
+    kind = whole.schema
+    odd = [dict(some[0].asDict(), doc_id=None), dict.fromkeys(kind.names), some[1].asDict(), some[1].asDict(), dict(some[2].asDict(), text=None, source=None), dict(some[2].asDict(), text="")]
+    for docs in (spark.createDataFrame([tuple(r[c] for c in kind.names) for r in odd], kind), empty(whole)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            rows = out.collect()
+            assert n or not rows
+            if name != "bpe encoding":
+                assert out.columns == docs.columns
+                docs = spark.createDataFrame(rows, kind)
