@@ -120,7 +120,7 @@ def scales(held: DataFrame) -> list:
         n, s, q = (total if total is not None else np.empty((3, 0))).tolist()
         yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array(n), pa.array(s), pa.array(q)], names=["k", "n", "s", "q"])
 
-    got = held.mapInArrow(run, "k int, n double, s double, q double").groupBy("k").agg(*[F.sum(c).alias(c) for c in "nsq"]).orderBy("k").collect()  # a row a feature
+    got = held.mapInArrow(lean(run), "k int, n double, s double, q double").groupBy("k").agg(*[F.sum(c).alias(c) for c in "nsq"]).orderBy("k").collect()  # a row a feature
     n, s, q = (np.array([r[c] for r in got]) for c in "nsq")
     mean, dev = s / n, np.sqrt(np.maximum(q / n - (s / n) ** 2, 0)) + 1e-3
     at = len(got) - 2 * BUCKETS - 2
@@ -162,7 +162,7 @@ def handed(held: DataFrame, model: dict, taken: set, turn: int) -> list:
         rows = [{"slot": k, "rank": o, **{c: r[c] for c in ("mark", "x", "source", "lang", "n_chars")}} for k, own in best.items() for o, r in own]
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("slot", pa.int32()), ("rank", pa.int64()), ("mark", pa.int64()), ("x", pa.binary()), ("source", pa.string()), ("lang", pa.string()), ("n_chars", pa.float64())]))
 
-    found = held.mapInArrow(run, "slot int, rank bigint, mark bigint, x binary, source string, lang string, n_chars double").dropDuplicates(["slot", "mark"])
+    found = held.mapInArrow(lean(run), "slot int, rank bigint, mark bigint, x binary, source string, lang string, n_chars double").dropDuplicates(["slot", "mark"])
     first = Window.partitionBy("slot").orderBy("rank", "mark")
     return sorted(found.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= HANDED).collect(), key=lambda r: (r.slot, r["rank"], r["mark"]))
 
