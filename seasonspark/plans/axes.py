@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seasonspark.functions import calendar as cal
 from seasonspark.operators import alignment, analogs, climate, completion, diagrams, indices, leads, methods, regrid, terciles, timing
-from seasonspark.plans.catalog import BOUNDED, BOX, FIELD, FIRST, LAST, ONSET, PAIRS, PLACES, SEASON, bounded, pairs, query, r, rnd, season
+from seasonspark.plans.catalog import BOUNDED, BOX, FIELD, FIRST, LAST, ONSET, PAIRS, SEASON, bounded, pairs, query, r, rnd, rounded, season
 from seasonspark.plans.forecasts import MODELS, models
 from seasonspark.sources import cubes, issuance, products, verification
 from seasonspark.sources.cubes import GRID, HIND, OBS, WET, rain_sql
@@ -346,7 +346,7 @@ PROBS = f"{BOUNDED}, g AS (SELECT (cell // 5)::DOUBLE AS lat, (cell % 5)::DOUBLE
 def tercile_product(spark, d):
     """Shares as the product's percentages."""
     g = cubes.on_grid(bounded(spark, d).where("year = 1997").withColumn("value", F.lit(0.0))).drop("value")
-    return products.long_terciles(products.tercile_product(g)).withColumn("value", F.round(F.col("value").cast("double"), 4) + 0.0)
+    return products.long_terciles(products.tercile_product(g)).withColumn("value", rounded("value", 4))
 
 
 @query(f"WITH {BOUNDED}, j AS (SELECT a.p_below AS x1, a.p_normal AS x2, a.p_above AS x3, z.p_below AS y1, z.p_normal AS y2, z.p_above AS y3 FROM b a JOIN b z ON a.cell = z.cell WHERE a.year = 1997 AND z.year = 1996) SELECT round(avg((abs(x1 - y1) + abs(x2 - y2) + abs(x3 - y3)) / 3 * 100), 4) + 0.0 AS mae FROM j")
@@ -354,14 +354,14 @@ def tercile_mae(spark, d):
     """In percentage points, of two years."""
     g = cubes.on_grid(bounded(spark, d).withColumn("value", F.lit(0.0)))
     a, b = (products.long_terciles(products.tercile_product(g.where(f"year = {y}"))) for y in (1997, 1996))
-    return products.tercile_mae(a, b).withColumn("mae", F.round("mae", 4) + 0.0)
+    return products.tercile_mae(a, b).withColumn("mae", rounded("mae", 4))
 
 
 @query("""SELECT name, count(*) AS n, round(avg((v IS NULL)::INT), 6) + 0.0 AS missing, min(v) AS low, max(v) AS high
 FROM (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_suppkey']) AS name, unnest([l_quantity::DOUBLE, l_extendedprice::DOUBLE, l_discount::DOUBLE, l_suppkey::DOUBLE]) AS v FROM lineitem) GROUP BY 1""")
 def dataset_profile(spark, d):
     t = cubes.table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_suppkey")
-    return products.profile(t).select("name", "n", F.round("missing", PLACES).alias("missing"), "low", "high")
+    return products.profile(t).select("name", "n", rounded("missing").alias("missing"), "low", "high")
 
 
 @query(f"WITH {WET}, c AS (SELECT DISTINCT epoch(d) / 86400 AS v FROM wet), g AS (SELECT v, v - lag(v) OVER (ORDER BY v) AS g FROM c) SELECT count(*) AS size, min(v)::DOUBLE AS first, max(v)::DOUBLE AS last, CASE WHEN min(g) = max(g) THEN min(g)::DOUBLE END AS step FROM g")

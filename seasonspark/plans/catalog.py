@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seasonspark.functions import calendar as cal
@@ -36,9 +36,16 @@ def query(sql: str | None = None):
     return register
 
 
+def rounded(c: str, places: int = PLACES) -> Column:
+    """As SQL's round() of doubles, halves away from zero after scaling; Spark's own rounds the decimal digits, so that it parts from it at ties."""
+    x, scale = F.col(c).cast("double"), float(10**places)
+    near = F.round(x * scale, 0) / scale
+    return F.when(F.abs(near) == float("inf"), x).otherwise(near) + 0.0
+
+
 def r(df: DataFrame) -> DataFrame:
     """Doubles rounded; a negative zero becomes zero."""
-    return df.select(*[(F.round(c, PLACES) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[rounded(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def rnd(x: str) -> str:
@@ -420,4 +427,4 @@ def season_length(spark, d):
 @query("SELECT date_trunc('day', ts) AS start, event_type AS cell, round(sum(value), 6) AS total, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_daily_totals(spark, d):
     t = windowed_totals(cubes.table(spark, d, "events"))
-    return t.withColumn("total", F.round("total", PLACES))
+    return t.withColumn("total", rounded("total"))

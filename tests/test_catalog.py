@@ -4,9 +4,10 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
-from seasonspark.plans.catalog import FLAGSHIP, ORACLE_SQL, QUERIES
+from seasonspark.plans.catalog import FLAGSHIP, ORACLE_SQL, QUERIES, rounded
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -41,3 +42,12 @@ def test_query_matches_sql(spark, con, name):
 
 def test_flagship_is_registered():
     assert FLAGSHIP in QUERIES
+
+
+def test_rounding_is_that_of_sql(spark, con):
+    """0.5203125 times a million is below a half in doubles; other ties of digits are above."""
+    rng = np.random.default_rng(6)
+    xs = [0.5203125, 0.5, 2.5e-6, -2.5e-6, -0.1234565, 1e305, -1e-9, *((rng.integers(-(10**8), 10**8, 2_000) * 10 + 5) / 1e7).tolist(), *rng.normal(size=500).tolist()]
+    got = [x.v for x in spark.createDataFrame(list(enumerate(xs)), "i int, v double").select("i", rounded("v").alias("v")).orderBy("i").collect()]
+    assert got == [con.execute("SELECT round(?::DOUBLE, 6) + 0.0", [x]).fetchone()[0] for x in xs]
+    assert got[0] == 0.520312
