@@ -54,9 +54,25 @@ def rank_of_record(rows: DataFrame, keys: list[str], highest: bool = True) -> Da
     return rows.where("value IS NOT NULL").withColumn("rank", F.rank().over(Window.partitionBy(*keys).orderBy(order)))
 
 
+def quantile(rows: DataFrame, keys: list[str], q: float, name: str) -> DataFrame:
+    """The q-quantile (type 7) of each record, null without values.
+
+    a (1 - d) + b d with the first product unrounded, as SQL's quantile_cont has it: a value that
+    meets the quantile exactly compares as there.
+    """
+    w = Window.partitionBy(*keys)
+    place = F.row_number().over(w.orderBy(F.col("value").asc_nulls_last())) - 1
+    ranked = rows.select(*keys, F.col("value").cast("double").alias("_v"), place.alias("_r"), ((F.count("value").over(w) - 1) * F.lit(q)).alias("_x"))
+    a, b = (F.max(F.when(F.col("_r") == f("_x"), F.col("_v"))) for f in (F.floor, F.ceil))
+    at = ranked.groupBy(*keys).agg(F.max("_x").alias("_x"), a.alias("_a"), b.alias("_b"))
+    d = F.col("_x") - F.floor("_x")
+    between = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), F.col("_a"), 1 - d, F.col("_b") * d).cast("double")
+    return at.select(*keys, F.when((d == 0) | F.col("_a").isNull(), F.col("_a")).otherwise(between).alias(name))
+
+
 def frequency_below(sample: DataFrame, climatology: DataFrame, keys: list[str], q: float) -> DataFrame:
     """Share of a sample below the q-quantile (type 7) of the climatology."""
-    level = climatology.groupBy(*keys).agg(F.percentile("value", F.lit(q)).alias("_t"))
+    level = quantile(climatology, keys, q, "_t")
     share = F.avg(F.when(F.col("value").isNotNull(), (F.col("value") < F.col("_t")).cast("double")))
     return sample.join(level, keys).groupBy(*keys).agg(share.alias("frequency"))
 

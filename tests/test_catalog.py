@@ -2,11 +2,13 @@
 
 import glob
 import os
+from fractions import Fraction
 
 import duckdb
 import numpy as np
 import pytest
 
+from seasonspark.operators import climate
 from seasonspark.plans.catalog import FLAGSHIP, ORACLE_SQL, QUERIES, rounded
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -51,3 +53,21 @@ def test_rounding_is_that_of_sql(spark, con):
     got = [x.v for x in spark.createDataFrame(list(enumerate(xs)), "i int, v double").select("i", rounded("v").alias("v")).orderBy("i").collect()]
     assert got == [con.execute("SELECT round(?::DOUBLE, 6) + 0.0", [x]).fetchone()[0] for x in xs]
     assert got[0] == 0.520312
+
+
+def test_frequency_below_at_the_quantile_itself(spark):
+    """Sample values that meet the quantile, in fractions, are below it or not as in SQL; records without values have no share."""
+    rng = np.random.default_rng(7)
+    clim, sample = [(-1, None), (-2, 1.0), (-2, None)], [(-1, 1.0), (-2, 1.0), (-2, 0.5)]
+    for cell in range(400):
+        fs = sorted(Fraction(int(rng.integers(60, 300)), int(rng.integers(5, 13))) for _ in range(7))
+        clim += [(cell, float(f)) for f in fs]
+        sample += [(cell, float((4 * fs[1] + fs[2]) / 5)), (cell, float(fs[3]))]
+    own = duckdb.connect()
+    for name, rows in (("c", clim), ("s", sample)):
+        own.execute(f"CREATE TABLE {name} (cell BIGINT, value DOUBLE)")
+        own.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    want = own.execute("SELECT cell, avg((value < t)::INT) FROM s JOIN (SELECT cell, quantile_cont(value, 0.2) AS t FROM c GROUP BY 1) USING (cell) GROUP BY 1").fetchall()
+    frames = [spark.createDataFrame(rows, "cell long, value double") for rows in (sample, clim)]
+    got = climate.frequency_below(*frames, ["cell"], 0.2).collect()
+    assert dict(want) == {x.cell: x.frequency for x in got}
