@@ -36,6 +36,29 @@ def pearson(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.corr("fc", "obs").alias("r"))
 
 
+def in_order(keys: list[str], order: str):
+    """Each record as a whole, added up row by row in the order of a column: sums are the same to the last bit in reruns and for copies."""
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def mean_in_order(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys and value, the mean, added up in order."""
+    return rows.select(*keys, F.avg("value").over(in_order(keys, order)).alias("value")).groupBy(*keys).agg(F.max("value").alias("value"))
+
+
+def pearson_in_order(pairs: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """As pearson, added up in order; NaN without spread."""
+    w, both = in_order(keys, order), F.col("fc").isNotNull() & F.col("obs").isNotNull()
+    t = pairs.select(*keys, order, F.when(both, F.col("fc")).alias("_x"), F.when(both, F.col("obs")).alias("_y"))
+    flat = (F.min("_x").over(w) == F.max("_x").over(w)) | (F.min("_y").over(w) == F.max("_y").over(w))
+    t = t.select(*keys, order, flat.alias("_flat"), *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in ("_x", "_y")])
+    xy, xx, yy = (F.sum(F.col(a) * F.col(b)).over(w) for a, b in (("_x", "_y"), ("_x", "_x"), ("_y", "_y")))
+    t = t.select(*keys, "_flat", xy.alias("_xy"), (F.sqrt(xx) * F.sqrt(yy)).alias("_d"))
+    g = t.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("_flat", "_xy", "_d")])  # the same in all rows of a record
+    r = F.when(F.col("_flat") | (F.col("_d") == 0), float("nan")).otherwise(F.col("_xy") / F.nullif("_d", F.lit(0.0)))
+    return g.select(*keys, r.alias("r"))
+
+
 def average_rank(v: str, keys: list[str]) -> Column:
     w = Window.partitionBy(*keys)
     return F.rank().over(w.orderBy(v)) + (F.count(v).over(Window.partitionBy(*keys, v)) - 1) / 2

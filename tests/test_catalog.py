@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from seasonspark.operators import climate
+from seasonspark.operators import climate, metrics
 from seasonspark.plans.catalog import FLAGSHIP, ORACLE_SQL, QUERIES, rounded
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -71,3 +71,20 @@ def test_frequency_below_at_the_quantile_itself(spark):
     frames = [spark.createDataFrame(rows, "cell long, value double") for rows in (sample, clim)]
     got = climate.frequency_below(*frames, ["cell"], 0.2).collect()
     assert dict(want) == {x.cell: x.frequency for x in got}
+
+
+def test_fdr_bh_of_copies(spark, tmp_path):
+    """Copies of a cell have one p, so that they share a rank: as in the SQL with the order of its sums fixed, which it leaves to chance."""
+    own = duckdb.connect()
+    own.execute(f"CREATE TABLE lineitem AS SELECT * REPLACE (l_suppkey + 1000 * i AS l_suppkey) FROM '{SF}/lineitem.parquet', range(40) t(i) ORDER BY hash(l_orderkey, l_linenumber, i)")
+    own.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet'")
+    sql = ORACLE_SQL["fdr_bh"].replace("avg(value) AS fc", "avg(value ORDER BY member) AS fc").replace("corr(fc, obs)", "corr(fc, obs ORDER BY year)")
+    got = {x.cell: (x.p, x.q) for x in QUERIES["fdr_bh"](spark, str(tmp_path)).collect()}
+    assert got == {c: (p, q) for c, p, q in own.execute(sql).fetchall()}
+    assert all(got[c] == got[c % 1000] for c in got)
+
+
+def test_pearson_in_order(spark):
+    rows = [(1, 1, 1.0, 2.0), (2, 1, 0.1, 1.0), (2, 2, 0.1, 2.0), (2, 3, 0.1, 3.0), (3, 1, 1.0, 5.0), (3, 2, 2.0, 1.0), (3, 3, None, 9.0), (4, 1, None, 1.0)]
+    got = {x.cell: x.r for x in metrics.pearson_in_order(spark.createDataFrame(rows, "cell int, year int, fc double, obs double"), ["cell"], "year").collect()}
+    assert np.isnan(got[1]) and np.isnan(got[2]) and got[3] == pytest.approx(-1) and got[4] is None
