@@ -2,9 +2,9 @@
 
 A vector's components are cut into PARTS parts, whose partial products with a
 query are the local scores that add up to its score. Phase one gathers local
-lists: of a keyed share of the rows, each query's best local scores of every
-part, a bounded list for each tile of rows; these few rows are resolved, and the
-k-th best score found is a safe cutoff c. Phase two hands the cutoffs to all
+lists: of all rows, each query's best local scores of every part, a bounded list
+for each tile of rows; these few rows are resolved, and the k-th best score found
+is the cutoff c. Phase two hands the cutoffs to all
 rows and collects the entries that reach c / PARTS in some part, as every row
 that reaches c must. Phase three adds up the parts so far seen with the most
 that the missing ones can give, no more than c / PARTS and no more than the
@@ -36,8 +36,6 @@ from ._shared import cut, table
 PARTS = 4
 #: Queries of a block and rows of a tile, about.
 BLOCK, TILE = 4_096, 8_192
-#: Phase one looks at one row in so many.
-SHARE = 8
 #: Scores that are held at once; it decides how many rows are scored together.
 SCORES = 1 << 20
 SCALE = 1024
@@ -110,12 +108,12 @@ def found_rows(q: list, x: list, s: list):
 
 
 def local_lists(k: int):
-    """Phase one on a tile: the rows that are among the k best of some part for a query, resolved, and of these the k best."""
+    """Phase one on a tile: the rows that are among the k best of some part for a query, resolved, and of these the k best of the tile."""
 
     def run(rows, queries):
         import numpy as np
 
-        out: tuple[list, list, list] = ([], [], [])
+        none, best = np.iinfo(np.int64).min, {}
         for qid, q, _, ids, x in chunks(queries, rows):
             q, x = exact(q, x)
             parts = [q[:, a:b] @ x[:, a:b].T for a, b in bounds(q.shape[1])]
@@ -126,14 +124,16 @@ def local_lists(k: int):
             for p in parts:
                 p = np.where(own, -np.inf, p.astype(float))
                 np.put_along_axis(seen, np.argpartition(-p, m - 1, axis=1)[:, :m], True, axis=1)
-            score = np.where(seen & ~own, score, np.iinfo(np.int64).min)
+            score = np.where(seen & ~own, score, none)
             top = np.argpartition(-score.astype(float), m - 1, axis=1)[:, :m]
-            i = np.repeat(np.arange(len(qid)), m)
-            j = top.ravel()
-            held = (seen & ~own)[i, j]
-            for to, c in zip(out, (qid[i], ids[j], score[i, j]), strict=True):
-                to.append(c[held])
-        return found_rows(*out)
+            s, j = np.take_along_axis(score, top, 1), ids[top]
+            if q.shape[1] in best:
+                s, j = (np.concatenate([old, new], 1) for old, new in zip(best[q.shape[1]][1:], (s, j), strict=True))
+                top = np.argpartition(-s.astype(float), min(k, s.shape[1]) - 1, axis=1)[:, :k]
+                s, j = np.take_along_axis(s, top, 1), np.take_along_axis(j, top, 1)
+            best[q.shape[1]] = qid, s, j
+        held = [(np.repeat(qid, s.shape[1]), j.ravel(), s.ravel()) for qid, s, j in best.values()]
+        return found_rows(*[[h[c][h[2] != none] for h in held] for c in range(3)])
 
     return run
 
@@ -180,27 +180,34 @@ def entries(rows, queries):
     return found_rows(*out)
 
 
+def tiled(rows: DataFrame, queries: DataFrame, blocks: int, tiles: int, of) -> DataFrame:
+    """A function of each pair of a tile of rows and a block of queries."""
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (blocks, tiles)]
+    block = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int")
+    tile = F.pmod(F.xxhash64("vec_id", "v"), F.lit(tiles)).cast("int")
+    left = rows.select(tile.alias("_t"), every[0].alias("_b"), "vec_id", "v").groupBy("_b", "_t")
+    right = queries.select(block.alias("_b"), every[1].alias("_t"), "*").select("_b", "_t", "vec_id", "v", *queries.columns[2:])
+    return left.cogroup(right.groupBy("_b", "_t")).applyInArrow(of, FOUND)
+
+
+def rank() -> F.Column:
+    return F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+
+
+def cutoffs(rows: DataFrame, queries: DataFrame, k: int, blocks: int, tiles: int) -> DataFrame:
+    """vec_id and cutoff of the queries, the k-th best score that the local lists of all rows hold; no row where they hold fewer."""
+    lists = tiled(rows, queries, blocks, tiles, local_lists(k)).withColumn("_r", rank())
+    return lists.where(F.col("_r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
+
+
 def top_k(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: of each row where is_query holds the k best others."""
     rows = quantised(vectors, id_col, vector_col)
     queries = cut(rows.where(is_query).distinct(), "queries")
-    blocks = max(1, -(-queries.count() // BLOCK))
-    block = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int")
-
-    def tiled(rows: DataFrame, queries: DataFrame, of) -> DataFrame:
-        tiles = max(1, rows.count() // TILE)
-        every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (blocks, tiles)]
-        tile = F.pmod(F.xxhash64("vec_id", "v"), F.lit(tiles)).cast("int")
-        left = rows.select(tile.alias("_t"), every[0].alias("_b"), "vec_id", "v").groupBy("_b", "_t")
-        right = queries.select(block.alias("_b"), every[1].alias("_t"), "*").select("_b", "_t", "vec_id", "v", *queries.columns[2:])
-        return left.cogroup(right.groupBy("_b", "_t")).applyInArrow(of, FOUND)
-
-    rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    some = rows.where(F.pmod(F.xxhash64("v", "vec_id"), F.lit(SHARE)) == 0)
-    lists = tiled(some, queries, local_lists(k)).withColumn("_r", F.row_number().over(rank))
-    cutoffs = lists.where(F.col("_r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
-    asked = queries.join(cutoffs, "vec_id", "left").select("vec_id", "v", F.coalesce("cutoff", F.lit(-(2**63))).alias("cutoff"))
-    out = tiled(rows, cut(asked, "cutoffs"), entries).withColumn("rank", F.row_number().over(rank))
+    blocks, tiles = max(1, -(-queries.count() // BLOCK)), max(1, rows.count() // TILE)
+    low = cutoffs(rows, queries, k, blocks, tiles)
+    asked = queries.join(low, "vec_id", "left").select("vec_id", "v", F.coalesce("cutoff", F.lit(-(2**63))).alias("cutoff"))
+    out = tiled(rows, cut(asked, "cutoffs"), blocks, tiles, entries).withColumn("rank", rank())
     return out.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

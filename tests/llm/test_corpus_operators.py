@@ -249,6 +249,21 @@ def test_top_k_over_many_blocks_and_tiles(spark, monkeypatch):
             topk.top_k(spark.createDataFrame([(i, bad) for i in range(3)], "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0).collect()
 
 
+def test_top_k_cutoffs_come_from_all_rows(spark, monkeypatch):
+    """With all of a score in one part, the local lists of all rows hold each query's true best, however rows are tiled and chunked."""
+    monkeypatch.setattr(topk, "SCORES", 1)
+    rnd = random.Random(15)
+    vectors = {i: [rnd.randrange(-500, 500), rnd.randrange(-500, 500), 0, 0, 0, 0, 0, 0] for i in range(700)}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id bigint, v array<bigint>")
+    queries = rows.where("vec_id % 50 = 0")
+    got = {r.vec_id: r.cutoff for r in topk.cutoffs(rows, queries, 5, 2, 3).collect()}
+    for q in range(0, 700, 50):
+        want = sorted((sum(a * b for a, b in zip(vectors[q], v, strict=True)) for i, v in vectors.items() if i != q), reverse=True)[4]
+        assert got.pop(q) == want
+    assert not got
+    assert topk.cutoffs(rows, queries, 700, 2, 3).count() == 0
+
+
 def test_pii(docs, spark):
     s = pii.Surrogates(b"k")
     t = "Mail a.72@mail3.example.com or +1 (017) 555-7713, card 4111111111111111, ip 169.122.221.182, Mr. John Smith"
